@@ -11,7 +11,15 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> function) and ``ORACLE_SQL`` (name -> DuckDB SQL).
-MODULES = ("query_neardup",)
+MODULES = (
+    "query_decontaminate",
+    "query_neardup",
+    "query_substring",
+    "query_quality",
+    "query_toxicity",
+    "query_mixing",
+    "query_media",
+)
 
 
 def _gather(attribute: str) -> dict:
