@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from marlstone.llm.carry import packed, unpacked
 from marlstone.llm.words import utf8_rows, window_hashes
 
 WINDOW = 10
@@ -112,6 +113,16 @@ def _scan(index):
     return run
 
 
+def _clean(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = index.value
+        for batch in batches:
+            keep = [not table.scan(terms(text))[0].any() for text in utf8_rows(batch.column(1))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _windows_of(window: int):
     """Benchmark rows -> (h, size, item): the windows' 128-bit digests."""
 
@@ -212,6 +223,22 @@ def contamination(
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``documents`` that hold no window of the benchmark, with all their columns.
+
+    Beyond ``broadcast_bytes`` of benchmark the contaminated ids are joined out;
+    rows with a null id are kept there.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
+        found = contamination(documents, benchmark, window=window, broadcast_bytes=broadcast_bytes).where("contaminated").select("doc_id")
+        return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    rows = [(r.item_id, r.text.encode()) for r in items.collect()]  # at most broadcast_bytes of text
+    index = documents.sparkSession.sparkContext.broadcast(BenchmarkIndex(rows, window))
+    pack = packed(documents)
+    return unpacked(pack.mapInArrow(_clean(index), pack.schema), documents)
+
+
 def _cut(index, pattern: str):
     import re
 

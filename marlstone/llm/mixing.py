@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marlstone.llm.carry import original_columns, packed
 from marlstone.plans.scratch import Scratch
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,39 @@ def draw(digest: str | Column, k: int) -> Column:
     return F.conv(F.substring(digest, 2 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _drawn(df: DataFrame, seed: str, weights: tuple[int, ...], budget: float, cap: int) -> DataFrame:
+    """``df`` (doc_id, text, source and others) with size, source_size, target and copies."""
+    sized = df.withColumns(
+        {
+            "size": word_count("text"),
+            "digest": F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256),
+        }
+    )
+    plain = sized.select("source", "size", "digest")
+    sizes = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, budget, cap)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    scratch = Scratch(df.sparkSession, "mix")
+    small = scratch.table(targets.withColumn("rate", rate).withColumnsRenamed({"source": "of"}), "targets")
+    near = F.broadcast if small.count() <= BROADCAST_SOURCES else (lambda side: side)
+    # Which draw comes nearest: sums per source, combined map-side.
+    joined = plain.join(near(small), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    extra = [F.sum(F.when(draw("digest", k) < part, F.col("size")).otherwise(0)).alias(f"e{k}") for k in range(DRAWS)]
+    figures = [F.first(c).alias(c) for c in ("source_size", "target", "rate")]
+    miss = [F.struct(F.abs(F.col("source_size") * whole + F.col(f"e{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(DRAWS)]
+    chosen = joined.groupBy("source").agg(*figures, *extra)
+    chosen = chosen.select(F.col("source").alias("of"), "source_size", "target", "rate", F.array_min(F.array(*miss))["k"].alias("k"))
+    chosen = scratch.table(chosen, "chosen")
+    value = F.conv(F.substring(F.col("digest"), F.col("k") * 2 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+    copies = (whole + F.when(value < part, 1).otherwise(0)).cast("long")
+    return (
+        sized.join(near(chosen), F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("copies", copies)
+        .drop("of", "k", "rate", "digest")
+    )
+
+
 def mix(
     documents: DataFrame,
     *,
@@ -76,46 +110,27 @@ def mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken), one row per input row.
 
-    ``taken`` is ``size * copies``; ``explode_copies`` turns the counts into
+    ``taken`` is ``size * copies``; ``mixed_documents`` turns the counts into
     rows.  Sources are ranked by code point, null last and a source of its own,
     and weigh ``weights`` in turn.  Null, empty or blank texts have size 0 and
     take no words.  Rows that repeat an id are drawn alike; a null id draws as
     the text ''.  A source of size 0 has target 0.  Other columns are ignored;
     an empty table gives an empty result.
     """
-    sized = documents.select(
-        F.col("doc_id"),
-        F.col("source"),
-        word_count("text").alias("size"),
-        F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).alias("digest"),
-    )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    # Which draw comes nearest: sums per source, combined map-side.
-    scratch = Scratch(documents.sparkSession, "mix")
-    small = scratch.table(targets.withColumn("rate", rate).withColumnsRenamed({"source": "of"}), "targets")
-    near = F.broadcast if small.count() <= BROADCAST_SOURCES else (lambda df: df)
-    joined = sized.join(near(small), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    extra = [F.sum(F.when(draw("digest", k) < part, F.col("size")).otherwise(0)).alias(f"e{k}") for k in range(DRAWS)]
-    sums = joined.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), *extra)
-    miss = [F.struct(F.abs(F.col("source_size") * whole + F.col(f"e{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(DRAWS)]
-    chosen = sums.select(F.col("source").alias("of"), "source_size", "target", "rate", F.array_min(F.array(*miss))["k"].alias("k"))
-    chosen = scratch.table(chosen, "chosen")
-    value = F.conv(F.substring(F.col("digest"), F.col("k") * 2 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    copies = (whole + F.when(value < part, 1).otherwise(0)).cast("long")
-    return (
-        sized.join(near(chosen), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    drawn = _drawn(documents.select("doc_id", "text", "source"), seed, weights, budget, cap)
+    return drawn.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def explode_copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``documents`` with each row as often as ``mixed`` takes it (doc_id is a key)."""
-    return (
-        documents.join(mixed.where("copies > 0").select("doc_id", "copies"), "doc_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .drop("copies")
-    )
+def mixed_documents(
+    documents: DataFrame,
+    *,
+    weights: tuple[int, ...] = WEIGHTS,
+    budget: float = BUDGET,
+    cap: int = CAP,
+    seed: str = SEED,
+    copy_col: str = "copy",
+) -> DataFrame:
+    """The rows of ``documents`` as often as ``mix`` takes them, numbered from 1 in ``copy_col``."""
+    drawn = _drawn(packed(documents).withColumn("source", F.col("rest.source")), seed, weights, budget, cap)
+    rows = drawn.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*original_columns(documents), F.col("nth").alias(copy_col))

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with ``QUERIES`` (name -> function) and ``ORACLE_SQL`` (name -> DuckDB SQL).
 MODULES = (
     "query_decontaminate",
+    "query_extract",
     "query_neardup",
     "query_substring",
     "query_quality",
     "query_toxicity",
     "query_mixing",
     "query_media",
+    "query_licenses",
+    "query_warc",
 )
 
 
