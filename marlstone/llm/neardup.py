@@ -9,9 +9,9 @@
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Bucket mates are joined to the bucket's smallest id; components of this
    (unchecked) graph are the units in which pairs are verified, so that a set
-   travels once.  Units over ``unit_rows`` are verified bucket by bucket
-   instead, and buckets over ``unit_rows`` as pairs of blocks, so that no task
-   holds more than two blocks whatever the size of a group.
+   travels once.  Units over ``unit_rows`` rows or ``unit_shingles`` shingles
+   are verified bucket by bucket instead, and buckets over that as pairs of
+   blocks, so that no task holds more than two blocks whatever a group's size.
 4. Links (100 * intersection >= threshold * union on the full sets) are found
    inside a unit without emitting pairs: a unit returns a spanning forest of
    its links.  Components of those links are the groups.
@@ -36,7 +36,9 @@ from marlstone.plans.scratch import Scratch
 SHINGLE = 5
 BANDS, ROWS = 40, 6
 THRESHOLD = 85
+#: Most rows and shingles of a unit, and of one block of a larger one.
 UNIT_ROWS = 2048
+UNIT_SHINGLES = 2_000_000
 #: Ids of candidate documents are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -136,44 +138,43 @@ class _Forest:
         return x != y
 
 
-def _pairs_by_band(bands: np.ndarray) -> np.ndarray:
-    """Distinct index pairs (i < j) that share a value in some column."""
-    n, found = len(bands), []
+def _same_band(bands: np.ndarray) -> np.ndarray:
+    """Upper triangle (i < j) of which rows share a value in some column, one byte a pair."""
+    n = len(bands)
+    shared = np.zeros((n, n), bool)
     for column in bands.T:
         order = np.argsort(column, kind="stable")
         value = column[order]
-        gap = 1
-        while gap < n:
-            same = np.flatnonzero(value[gap:] == value[:-gap])
-            if not same.size:
-                break
-            found.append(np.sort(np.stack([order[same], order[same + gap]], 1), axis=1))
-            gap += 1
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+            shared[np.ix_(order[a:b], order[a:b])] = True
+    return np.triu(shared, 1)
 
 
-def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes, by products of 0/1 column blocks."""
-    m = len(sets)
+def _shared_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, column, number of columns) of the shingles that more than one set holds, by column."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], column[shared]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    head = np.concatenate([[True], flat[1:] != flat[:-1]])
+    place = np.cumsum(head) - 1
+    several = np.bincount(place)[place] > 1
+    place, owner = place[several], owner[several]
+    if not len(place):
+        return owner, place, 0
+    column = np.cumsum(np.concatenate([[0], (place[1:] != place[:-1]).astype(np.int64)]))
+    return owner, column, int(column[-1]) + 1
+
+
+def _common_counts(m: int, owner: np.ndarray, column: np.ndarray, columns: int, width: int = 4096) -> np.ndarray:
+    """Matrix of intersection sizes, by products of 0/1 column blocks."""
     total = np.zeros((m, m), np.float32)
-    if not len(column):
-        return total
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width = 4096
-    edges = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width))
+    edges = np.searchsorted(column, np.arange(0, columns + width, width))
     for k in range(len(edges) - 1):
         a, b = edges[k], edges[k + 1]
         if a < b:
-            block = np.zeros((m, width), np.float32)
+            block = np.zeros((m, min(width, columns - k * width)), np.float32)
             block[owner[a:b], column[a:b] - k * width] = 1
             total += block @ block.T
     return total
@@ -188,26 +189,22 @@ def unit_links(ids: np.ndarray, bands: np.ndarray | None, sets: list[np.ndarray]
     n = len(ids)
     forest, links = _Forest(n), []
     size = np.array([len(s) for s in sets], np.float64)
-    pairs = _pairs_by_band(bands) if bands is not None else None
+    open_pairs = _same_band(bands) if bands is not None else np.triu(np.ones((n, n), bool), 1)
+    open_pairs &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
     # A product costs about n * n * columns / 2e10 s, a single pair about 3e-5 s.
-    columns = size.sum() / 2
-    n_pairs = n * (n - 1) / 2 if pairs is None else len(pairs)
-    if n > 24 and n * n * columns / 2e10 < 3e-5 * n_pairs:
-        common = _common_counts(sets)
-        union = size[:, None] + size[None, :] - common
-        rows, cols = np.nonzero(np.triu(100.0 * common >= percent * union, 1))
-        found: Iterator = zip(rows.tolist(), cols.tolist())
-        checked = True
-    else:
-        if pairs is None:
-            rows, cols = np.triu_indices(n, 1)
-            pairs = np.stack([rows, cols], 1)
-        fits = 100 * np.minimum(size[pairs[:, 0]], size[pairs[:, 1]]) >= percent * np.maximum(size[pairs[:, 0]], size[pairs[:, 1]])
-        found, checked = map(tuple, pairs[fits].tolist()), False
-    for i, j in found:
-        if forest.root(i) != forest.root(j) and (checked or _linked(sets[i], sets[j], percent)):
-            forest.join(i, j)
-            links.append((int(ids[i]), int(ids[j])))
+    product = False
+    if n > 24:
+        owner, column, columns = _shared_columns(sets)
+        product = n * n * columns / 2e10 < 3e-5 * np.count_nonzero(open_pairs)
+    if product:
+        common = _common_counts(n, owner, column, columns)
+        for i in range(n):
+            open_pairs[i] &= 100 * common[i] >= percent * (size[i] + size - common[i])
+    for i in range(n):
+        for j in np.flatnonzero(open_pairs[i]).tolist():
+            if forest.root(i) != forest.root(j) and (product or _linked(sets[i], sets[j], percent)):
+                forest.join(i, j)
+                links.append((int(ids[i]), int(ids[j])))
     return links
 
 
@@ -232,23 +229,28 @@ def _verify(percent: int):
     return run
 
 
-def _units(spark: SparkSession, scratch: Scratch, members: DataFrame, sizes: DataFrame, unit_rows: int) -> DataFrame:
-    """(unit, doc_id, by_band): where each candidate's set has to go."""
+def _units(scratch: Scratch, members: DataFrame, sizes: DataFrame, counts: DataFrame, unit_rows: int, unit_shingles: int) -> DataFrame:
+    """(unit, doc_id, by_band): where each candidate's set has to go.
+
+    ``sizes`` has rows and shingles of each bucket, ``counts`` those of each
+    document.
+    """
     stars = members.join(sizes, "key").where("doc_id <> low").select("doc_id", "low")
     clusters = connected_components(stars, scratch, "coarse").withColumnRenamed("node", "doc_id")
     clusters = scratch.table(clusters, "clusters")
-    big = clusters.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > unit_rows)
+    weighed = clusters.join(counts, "doc_id").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    big = weighed.where((F.col("rows") > unit_rows) | (F.col("shingles") > unit_shingles))
     small = clusters.join(big, "component", "left_anti").select(
         F.struct(F.lit(0).alias("kind"), F.col("component").alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("unit"),
         "doc_id",
         F.lit(True).alias("by_band"),
     )
     rest = clusters.join(big.select("component"), "component", "left_semi").select("doc_id")
-    blocks = F.ceil(F.col("rows") / unit_rows).cast("int")
+    blocks = F.ceil(F.greatest(F.col("rows") / unit_rows, F.col("shingles") / unit_shingles)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     by_bucket = (
         members.join(rest, "doc_id", "left_semi")
-        .join(sizes.select("key", "rows"), "key")
+        .join(sizes.select("key", "rows", "shingles"), "key")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -270,6 +272,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     unit_rows: int = UNIT_ROWS,
+    unit_shingles: int = UNIT_SHINGLES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -298,13 +301,16 @@ def near_duplicates(
     keys = (
         usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
         .dropDuplicates(["doc_id"])
-        .select("doc_id", F.explode("bands").alias("key"))
+        .select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     )
     sizes = scratch.table(
-        keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low")).where("rows > 1"), "sizes"
+        keys.groupBy("key")
+        .agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"), F.min("doc_id").alias("low"))
+        .where("rows > 1"), "sizes"
     )
-    members = scratch.table(keys.join(sizes.select("key"), "key", "left_semi"), "members")
-    units = scratch.table(_units(spark, scratch, members, sizes, unit_rows), "units")
+    members = scratch.table(keys.drop("n_shingles").join(sizes.select("key"), "key", "left_semi"), "members")
+    counts = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
+    units = scratch.table(_units(scratch, members, sizes, counts, unit_rows, unit_shingles), "units")
 
     wanted = units.select("doc_id").distinct()
     n_wanted = wanted.count()
