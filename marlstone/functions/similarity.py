@@ -5,13 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import Text, as_column
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def gestalt_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio to six digits, null if a side is null or empty.
 
@@ -71,6 +71,14 @@ def component_count(documents: int, features: int, wanted: int) -> int:
     return max(0, min(wanted, min(documents, features) - 1))
 
 
+def _cut(text: Column, size: int):
+    return lambda i: F.substring(text, i, F.lit(size))
+
+
+def _run(words: Column, size: int, glue: str):
+    return lambda i: F.array_join(F.slice(words, i, size), glue)
+
+
 def word_ngrams(text: Text, low: int = 1, high: int = 2) -> Column:
     """Lower-cased words (runs of word characters) as n-grams of words."""
     words = F.regexp_extract_all(F.lower(as_column(text)), F.lit(r"(?U)\w+"), F.lit(0))
@@ -88,7 +96,7 @@ def padded_char_ngrams(text: Text, low: int = 3, high: int = 5) -> Column:
     def of_word(w: Column) -> Column:
         parts = []
         for n in range(low, high + 1):
-            longer = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i, n=n: F.substring(w, i, F.lit(n)))
+            longer = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), _cut(w, n))
             short = F.array(w) if n == low else F.when(F.length(w) == n, F.array(w)).otherwise(F.array().cast("array<string>"))
             parts.append(F.when(F.length(w) > n, longer).otherwise(short))
         return F.concat(*parts)
@@ -99,7 +107,7 @@ def padded_char_ngrams(text: Text, low: int = 3, high: int = 5) -> Column:
 def _grams(words: Column, low: int, high: int, glue: str) -> Column:
     parts = []
     for n in range(low, high + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), glue))
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), _run(words, n, glue))
         parts.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 

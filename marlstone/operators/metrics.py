@@ -30,7 +30,7 @@ def ranking_areas(frame: DataFrame, score: str = "same_game_probability", label:
     task orders all rows.
     """
     counts = _by_score(frame, score, label).withColumn("b", F.floor(F.col("s") * 4096))
-    total = counts.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     per_bucket = counts.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4097 buckets for scores in [0, 1]
     per_bucket = per_bucket.select("b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
@@ -39,10 +39,10 @@ def ranking_areas(frame: DataFrame, score: str = "same_game_probability", label:
     run = run.crossJoin(F.broadcast(total))  # one row
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     # A positive at this score beats every negative below it and half of those beside it.
-    beaten = F.col("N") - F.col("fp") + F.col("n") / 2
+    beaten = F.col("all_n") - F.col("fp") + F.col("n") / 2
     return run.agg(
-        F.round(F.try_divide(F.sum(F.col("p") * beaten), F.first("P") * F.first("N")), 6).alias("roc_auc"),
-        F.round(F.when(F.first("N") > 0, F.try_divide(F.sum(F.col("p") * precision), F.first("P"))), 6).alias("pr_auc"),
+        F.round(F.try_divide(F.sum(F.col("p") * beaten), F.first("all_p") * F.first("all_n")), 6).alias("roc_auc"),
+        F.round(F.when(F.first("all_n") > 0, F.try_divide(F.sum(F.col("p") * precision), F.first("all_p"))), 6).alias("pr_auc"),
     )
 
 
