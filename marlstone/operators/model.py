@@ -13,6 +13,7 @@ from marlstone.functions.scoring import decision
 from marlstone.functions.similarity import padded_char_ngrams, tfidf_pair_cosine, word_ngrams
 from marlstone.operators.features import FEATURES
 from marlstone.operators.metrics import binary_metrics
+from marlstone.plans.scratch import Scratch
 
 # Label weights, and feature groups for ablations.
 LABEL_WEIGHTS = {"manual_review": 1.0, "weak_positive": 0.2, "synthetic_negative": 0.5}
@@ -74,7 +75,7 @@ def _numeric(frame: DataFrame, features: tuple[str, ...], medians: dict[str, flo
     return VectorAssembler(inputCols=list(filled), outputCol="__x").transform(frame.withColumns(filled)).drop(*filled)
 
 
-def fit_model(train: DataFrame, features: tuple[str, ...] = FEATURES, weights: dict[str, float] = LABEL_WEIGHTS, *, iterations: int = 500) -> PairModel:
+def fit_model(train: DataFrame, features: tuple[str, ...] = FEATURES, weights: dict[str, float] = LABEL_WEIGHTS, *, iterations: int = 200) -> PairModel:
     """Exact-median imputation and L2 logistic regression with balanced classes and row weights.
 
     The penalty is that of C = 1: ``1 / sum of weights`` in Spark's scaling,
@@ -94,7 +95,7 @@ def fit_model(train: DataFrame, features: tuple[str, ...] = FEATURES, weights: d
     weight = rows.agg(F.sum("__w")).first()[0]
     rows = _numeric(rows, kept, medians).select(F.col("label").cast("double").alias("label"), "__w", "__x")
     fitted = LogisticRegression(
-        featuresCol="__x", labelCol="label", weightCol="__w", regParam=1.0 / weight, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-10
+        featuresCol="__x", labelCol="label", weightCol="__w", regParam=1.0 / weight, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9
     ).fit(rows)
     return PairModel(kept, medians, fitted)
 
@@ -135,6 +136,7 @@ def train_and_evaluate(frame: DataFrame, features: tuple[str, ...] = FEATURES, w
 
 def ablation(frame: DataFrame, weights: dict[str, float] = RESEARCH_WEIGHTS) -> DataFrame:
     """Test metrics with all features and without each group."""
+    frame = Scratch(frame.sparkSession, "ablation").table(frame.select("pair_id", "label", "training_label_source", *FEATURES), "frame")
     out = None
     for name, excluded in [("all_features", ()), *((f"without_{g}", fs) for g, fs in FEATURE_GROUPS.items())]:
         kept = tuple(f for f in FEATURES if f not in excluded)
@@ -148,6 +150,7 @@ def ablation(frame: DataFrame, weights: dict[str, float] = RESEARCH_WEIGHTS) ->
 
 def grouped_holdout(frame: DataFrame, weights: dict[str, float] = RESEARCH_WEIGHTS) -> DataFrame:
     """Test metrics with whole left entities held out; ``skipped`` when a part has one class."""
+    frame = Scratch(frame.sparkSession, "holdout").table(frame, "frame")
     key = F.coalesce(F.concat_ws(":", "source_a", "source_id_a"), F.col("pair_id"))
     split = frame.withColumns({"__group": key, "__test": group_held_out(key)})
     sizes = split.groupBy("__test").agg(F.count("*").alias("rows"), F.count_distinct("__group").alias("groups"), F.count_distinct("label").alias("classes"))
@@ -178,7 +181,7 @@ def title_vectors(pairs: DataFrame, left: str = "name_a", right: str = "name_b")
 
 def title_model_comparison(rows: DataFrame, label: str = "manual_label") -> DataFrame:
     """Test metrics of the title feature sets."""
-    frame = rows.withColumn("label", F.col(label).cast("int"))
+    frame = Scratch(rows.sparkSession, "titles").table(rows.withColumn("label", F.col(label).cast("int")), "frame")
     out = None
     for name, features in FEATURE_SETS.items():
         _, tested = train_and_evaluate(frame, features, {})

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("recommend", "matching")
+MODULES = ("recommend", "matching", "review", "graph")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -10,6 +10,7 @@ from marlstone.operators import blocking, features, metrics, model, training
 from marlstone.operators.records import alias_language_counts
 from marlstone.plans.catalog import records_of
 from marlstone.plans.demo import base, staging, table, with_tables
+from marlstone.plans.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -298,14 +299,15 @@ def k05_threshold_sweep(spark, sf_dir):
 @_query()
 def k03_model_metrics(spark, sf_dir):
     """Test metrics of the weighted logistic model (rows only: an iterative fit)."""
-    _, tested = model.train_and_evaluate(training_rows(spark, sf_dir))
+    frame = Scratch(spark, "model").table(training_rows(spark, sf_dir), "frame")
+    _, tested = model.train_and_evaluate(frame)
     return metrics.binary_metrics(tested)
 
 
 @_query()
 def k04_model_predictions(spark, sf_dir):
     """Scored pairs with decisions and leading factors (rows only)."""
-    frame = training_rows(spark, sf_dir)
+    frame = Scratch(spark, "model").table(training_rows(spark, sf_dir), "frame")
     out = model.predict(table(spark, sf_dir, "view").select("pair_id", *features.FEATURES), model.fit_model(frame))
     return out.select("pair_id", "same_game_probability", "decision", F.array_join(F.transform("top_factors", lambda t: t["feature"]), ",").alias("top_features"))
 
