@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("recommend", "matching", "review", "graph")
+MODULES = ("recommend", "matching", "review", "graph", "quality", "catalog", "scalar", "ingest", "control")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
