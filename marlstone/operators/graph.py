@@ -14,13 +14,19 @@ from marlstone.plans.scratch import Scratch
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
-        edges.select(F.col("v").alias("n"), F.col("u").alias("m"))
-    )
-    low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(n, low): the smallest of each node and its neighbours, combined map-side."""
+    return _both_ways(edges).groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+
+
+def _large_star(edges: DataFrame, low: DataFrame) -> DataFrame:
     return (
-        both.join(low, "n")
+        _both_ways(edges)
+        .join(low, "n")
         .where(F.col("m") > F.col("n"))
         .select(F.col("m").alias("u"), F.col("low").alias("v"))
         .where("u <> v")
@@ -50,8 +56,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     )
     current, seen = scratch.table(edges, f"{label}-0"), None
     for k in range(1, MAX_ROUNDS + 1):
-        following = scratch.table(_small_star(_large_star(current)), f"{label}-{k}")
-        scratch.drop(f"{label}-{k - 1}")
+        # Written first, so that the join below has two plain shuffles and a hub's rows can be split.
+        low = scratch.table(_lowest(current), f"{label}-low-{k}")
+        following = scratch.table(_small_star(_large_star(current, low)), f"{label}-{k}")
+        scratch.drop(f"{label}-{k - 1}", f"{label}-low-{k}")
         state = tuple(
             following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
         )
