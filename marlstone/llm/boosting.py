@@ -78,14 +78,11 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, r
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: (knots, values) of a non-decreasing step curve."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # [sum, weight, lowest, highest]
-    for s, v in zip(score[order].tolist(), y[order].astype(float).tolist()):
-        if blocks and blocks[-1][3] == s:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([v, 1.0, s, s])
+    level, place = np.unique(score, return_inverse=True)
+    sums, counts = np.bincount(place, y, len(level)), np.bincount(place, minlength=len(level))
+    blocks: list[list[float]] = []  # [sum, weight, lowest, highest], one a level of the score to begin with
+    for s, v, w in zip(level.tolist(), sums.tolist(), counts.tolist()):
+        blocks.append([v, float(w), s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, w2, _, high = blocks.pop()
             blocks[-1][0] += v2

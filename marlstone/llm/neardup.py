@@ -240,12 +240,14 @@ def _units(scratch: Scratch, members: DataFrame, sizes: DataFrame, counts: DataF
     clusters = scratch.table(clusters, "clusters")
     weighed = clusters.join(counts, "doc_id").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
     big = weighed.where((F.col("rows") > unit_rows) | (F.col("shingles") > unit_shingles))
+    # As a written table it is small enough to be broadcast, or at least a plain shuffle beside the clusters'.
+    big = scratch.table(big.select("component"), "big")
     small = clusters.join(big, "component", "left_anti").select(
         F.struct(F.lit(0).alias("kind"), F.col("component").alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("unit"),
         "doc_id",
         F.lit(True).alias("by_band"),
     )
-    rest = clusters.join(big.select("component"), "component", "left_semi").select("doc_id")
+    rest = clusters.join(big, "component", "left_semi").select("doc_id")
     blocks = F.ceil(F.greatest(F.col("rows") / unit_rows, F.col("shingles") / unit_shingles)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     by_bucket = (
@@ -336,5 +338,5 @@ def near_duplicates(
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     result = scratch.table(result, "result")
-    scratch.drop("signed", "classes", "sizes", "members", "units", "clusters", "links")
+    scratch.drop("signed", "classes", "sizes", "members", "units", "clusters", "big", "links")
     return result
