@@ -223,3 +223,34 @@ GROUP BY ALL ORDER BY source_count DESC, description_source_count DESC, canonica
 def e25_fact_cards(spark, sf_dir):
     t = tables(spark, sf_dir, "canonical", "links", "descriptions")
     return explain.fact_cards(t["canonical"], t["links"], t["descriptions"])
+
+
+@_query(with_tables("view", "entities", "urls") + """, u AS (SELECT source_id, url FROM urls WHERE source = 'rawg' AND url_type IN ('rawg', 'website', 'background_image') QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN url_type = 'rawg' THEN 0 ELSE 1 END, url_type, url) = 1)
+SELECT v.pair_id, a.name AS name_a, a.release_year AS release_year_a, b.name AS name_b, CASE WHEN a.slug IS NOT NULL THEN 'https://rawg.io/games/' || a.slug ELSE u.url END AS rawg_url, v.igdb_search_rank,
+v.name_similarity, 'v2' AS model_version, v.same_game_probability, v.model_decision, v.review_status, v.review_label, v.priority_score
+FROM view v LEFT JOIN entities a ON a.source = v.source_a AND a.source_id = v.source_id_a LEFT JOIN entities b ON b.source = v.source_b AND b.source_id = v.source_id_b LEFT JOIN u ON u.source_id = v.source_id_a""")
+def d03_review_view(spark, sf_dir):
+    """The review view from its seven tables: two predictions a pair, the later one counts."""
+    v = view(spark, sf_dir)
+    t = tables(spark, sf_dir, "entities", "urls")
+    pairs = v.select("pair_id", "source_a", "source_id_a", "source_b", "source_id_b", "candidate_source", "label_source", "label_value", F.lit(0.5).alias("confidence"))
+    features = v.select("pair_id", "name_similarity", "alias_similarity", "release_year_diff", "external_id_exact_match", F.lit(None).cast("map<string,string>").alias("reasons"), F.lit("{}").alias("features_json"))
+    scored = v.select("pair_id", F.lit("m").alias("model_name"), F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("model_version"), "same_game_probability", F.col("model_decision").alias("decision"))
+    late = F.col("model_version") == "v2"
+    predictions = scored.withColumns({"predicted_at": F.timestamp_seconds(F.when(late, 2).otherwise(1)), "same_game_probability": F.when(late, F.col("same_game_probability")).otherwise(0.0)})
+    searches = v.where("igdb_search_rank is not null").groupBy(F.col("source_a").alias("source_name"), F.col("source_id_a").alias("source_game_id"), F.col("source_id_b").alias("igdb_id"), "pair_id").agg(
+        F.min("igdb_search_rank").alias("search_rank"), F.lit("q").alias("query_text"), F.lit("s").alias("query_strategy"), F.lit(0.5).alias("confidence")
+    )
+    # Search evidence is keyed by the two entities: here every pair has its own candidate id.
+    own = v.select("pair_id", F.col("pair_id").alias("mark"), "source_id_b")
+    pairs = pairs.join(own.select("pair_id", "mark"), "pair_id").withColumns({"keep": F.col("source_id_b"), "source_id_b": F.col("mark")}).drop("mark")
+    searches = searches.withColumn("igdb_id", F.col("pair_id")).drop("pair_id")
+    named = t["entities"].join(v.select(F.col("source_b").alias("source"), F.col("source_id_b").alias("source_id"), "pair_id").distinct(), ["source", "source_id"]).withColumn("source_id", F.col("pair_id")).drop("pair_id")
+    reviews = v.select("pair_id", "review_label", "review_status", "selection_strategy", "priority_score", F.lit("r").alias("reviewer"), "review_notes", F.lit(None).cast("timestamp").alias("reviewed_at"))
+    out = review.review_view(pairs, features, predictions, t["entities"].where("source = 'rawg'").unionByName(named), searches, t["urls"], reviews)
+    return out.select("pair_id", "name_a", "release_year_a", "name_b", "rawg_url", "igdb_search_rank", "name_similarity", "model_version", "same_game_probability", "model_decision", "review_status", "review_label", "priority_score")
+
+
+@_query(f"""{_V} SELECT pair_id, {_CASE} AS case_type FROM view WHERE same_game_probability IS NOT NULL AND NOT regexp_full_match(name_a, 'Q[0-9]+') AND NOT regexp_full_match(name_b, 'Q[0-9]+') ORDER BY {_ORDER} LIMIT 20000""")
+def g06_explainable_matches(spark, sf_dir):
+    return explain.explainable(view(spark, sf_dir), 10).select("pair_id", explain.case_type().alias("case_type"))
