@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marlstone.plans.scratch import Scratch
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """the first row of each key in the given order.
@@ -32,9 +34,34 @@ def page_with_total(df: DataFrame, order: Sequence[Column | str], *, limit: int,
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # total is one row
 
 
+#: Caps up to so many rows are taken by a top-k; greater ones by numbering the rows.
+TOP_ROWS = 100_000
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> DataFrame:
+    """``df`` with the place of each row in a total order, from 1.
+
+    Rows are dealt by ranges, numbered inside their range, and moved on by the
+    rows of the ranges before (one row a range), so that no task sees them all.
+    The dealt rows are written once, since both steps have to see the same ranges.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "numbered").table(ranged, "rows")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("__part").agg(F.count("*").alias("__rows"))
+    offsets = offsets.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = ranged.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    joined = inside.join(F.broadcast(offsets), "__part")  # one row a range
+    return joined.withColumn(name, (F.col("__before") + F.col(name)).cast("bigint")).drop("__part", "__before")
+
+
 def cap_rows(df: DataFrame, order: Sequence[Column | str], cap: int | None) -> DataFrame:
     """the first ``cap`` rows in order; None keeps all."""
-    return df if cap is None else df.orderBy(*order).limit(cap)
+    if cap is None:
+        return df
+    if cap <= TOP_ROWS:
+        return df.orderBy(*order).limit(cap)
+    return numbered(df, order, "__n").where(F.col("__n") <= cap).drop("__n")
 
 
 Rule = Callable[[Column, Column], Column]

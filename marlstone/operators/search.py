@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marlstone.functions.dates import epoch_release_date
 from marlstone.functions.scoring import search_confidence
 from marlstone.functions.text import Text, as_column, slug_title, unicode_title
-from marlstone.operators.rank import first_per_key
+from marlstone.operators.rank import first_per_key, numbered
 
 
 def search_queries(name: Text, slug: Text, aliases: Text, alias_limit: int = 2) -> Column:
@@ -180,14 +180,6 @@ def select_missing_pages(urls: DataFrame, descriptions: DataFrame, *, limit: int
 
 
 def slugs_in_batches(entities: DataFrame, size: int, *, source: str = "rawg") -> DataFrame:
-    """Non-blank slugs in order, numbered into batches of ``size``.
-
-    Batches are numbered in two steps (rows before each range partition, then
-    within it), so that no task sees all slugs.
-    """
+    """Non-blank slugs in order, numbered into batches of ``size``."""
     slugs = entities.where((F.col("source") == source) & (F.trim("slug") != "")).select(F.trim("slug").alias("slug")).distinct()
-    ranged = slugs.repartitionByRange("slug").sortWithinPartitions("slug").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("slug")))
-    before = inside.groupBy("part").agg(F.count("*").alias("rows"))
-    before = before.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return inside.join(F.broadcast(before), "part").select("slug", F.floor((F.col("offset") + F.col("n") - 1) / size).cast("bigint").alias("batch"))  # one row a partition
+    return numbered(slugs, ["slug"]).select("slug", F.floor((F.col("n") - 1) / size).cast("bigint").alias("batch"))

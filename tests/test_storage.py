@@ -22,6 +22,13 @@ def test_first_and_top_per_key(spark):
     assert rank.cap_rows(df, ["v", "t"], 2).count() == 2 and rank.cap_rows(df, ["v"], None).count() == 5
 
 
+def test_numbering_is_a_total_order(spark, monkeypatch):
+    df = spark.range(0, 500, 1, 7).select(((F.col("id") * 37) % 500).alias("v"), F.lit("t").alias("t"))
+    assert rows(rank.numbered(df, [F.desc("v")]), "v", "n") == rows(df.select("v", (500 - F.col("v")).alias("n")))
+    monkeypatch.setattr(rank, "TOP_ROWS", 10)
+    assert rows(rank.cap_rows(df, ["v"], 123), "v") == rows(spark.range(123)) and rank.cap_rows(df.limit(0), ["v"], 50).count() == 0
+
+
 def test_merges(spark):
     schema = "source_a string, source_id_a string, source_b string, source_id_b string, pair_id string, candidate_source string, label_source string, label_value string, confidence double"
     old = spark.createDataFrame([("r", "1", "w", "2", "old", "external_id", "s", "1", 0.9), ("r", "9", "w", "2", "kept", "x", None, None, None)], schema)
