@@ -27,7 +27,8 @@ def _query(sql: str | None = None):
 
 
 def demo_records(spark, sf_dir):
-    return records_of(spark, staging(spark, sf_dir))
+    """The wide records, written once: every later step reads them several times."""
+    return Scratch(spark, "records").table(records_of(spark, staging(spark, sf_dir)), "records")
 
 
 def norm(column: str) -> str:
@@ -69,7 +70,7 @@ _REC = records_sql()
 array_to_string(tags, ',') AS tags, array_to_string(developers, ',') AS developers, array_to_string(publishers, ',') AS publishers, array_to_string(url_types, ',') AS url_types,
 array_to_string(description_languages, ',') AS description_languages, array_to_string(evidence_sources, ',') AS evidence_sources, array_to_string(comparison_names, ',') AS comparison_names, has_description FROM rec""")
 def j07_records(spark, sf_dir):
-    r = demo_records(spark, sf_dir)
+    r = records_of(spark, staging(spark, sf_dir))
     lists = ("aliases", "genres", "platforms", "tags", "developers", "publishers", "url_types", "description_languages", "evidence_sources", "comparison_names")
     return r.select("source", "source_id", "name", "name_normalized", "release_year", *[F.array_join(c, ",").alias(c) for c in lists], "has_description")
 
@@ -118,7 +119,7 @@ def _demo_pairs(spark, sf_dir):
     rules = ("external_id_positive", "same_normalized_name", "shared_alias")
     rows = [blocking.candidate_pairs(r, rule=x) for x in rules]
     pairs = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return r, blocking.first_per_key(pairs, ["pair_id"], [F.desc("confidence")])
+    return r, Scratch(spark, "pairs").table(blocking.first_per_key(pairs, ["pair_id"], [F.desc("confidence")]), "pairs")
 
 
 _JAC = "CASE WHEN len(a.{0}) > 0 AND len(b.{0}) > 0 THEN round(len(list_intersect(a.{0}, b.{0}))::DOUBLE / len(list_distinct(list_concat(a.{0}, b.{0}))), 6) END AS {1}"
