@@ -228,3 +228,57 @@ def repeated_substrings(
     result = scratch.table(result, "result")
     scratch.drop("level", "classes", "again", "alive", "first", "later")
     return result
+
+
+def _all_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, held = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
+                hashes = window_hashes(word_hashes(spaced(text)), size)
+                parts.append((np.full(len(hashes), doc), np.arange(len(hashes), dtype=np.int32), hashes.view(np.int64)))
+                held += len(hashes)
+                if held >= BATCH_ROWS:
+                    yield _window_rows(parts)
+                    parts, held = [], 0
+            if held:
+                yield _window_rows(parts)
+
+    return run
+
+
+def _window_rows(parts: list) -> pa.RecordBatch:
+    ids, starts, hashes = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "start", "h"])
+
+
+def repeat_levels(documents: DataFrame, *, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, length, n_windows): repeated windows of each document at base, 2 * base, 4 * base ... words.
+
+    Plain level-wise doubling, for finding how long repeats are: a window of
+    twice the length is looked at when both halves repeat, until no candidate
+    survives.  Windows of one document that repeat inside it count as well.
+    Null, empty and short texts have no windows; rows with a null id are left
+    out; doc_id is a key.  An empty table gives an empty result.
+    """
+    scratch = Scratch(documents.sparkSession, "levels")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+    def repeating(windows: DataFrame, name: str) -> DataFrame:
+        again = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        return scratch.table(windows.join(again, "h", "left_semi").select("doc_id", "start", "h"), name)
+
+    length = base
+    level = repeating(docs.mapInArrow(_all_windows(base), "doc_id long, start int, h long"), f"level-{length}")
+    counted = None
+    while True:
+        counts = level.groupBy("doc_id").agg(F.lit(length).alias("length"), F.count("*").alias("n_windows"))
+        counts = scratch.table(counts, f"counts-{length}")
+        counted = counts if counted is None else counted.unionByName(counts)
+        if level.isEmpty():
+            return counted
+        second = level.select("doc_id", (F.col("start") - length).alias("start"), F.col("h").alias("second"))
+        longer = level.join(second, ["doc_id", "start"]).select("doc_id", "start", F.xxhash64("h", "second").alias("h"))
+        following = repeating(longer, f"level-{2 * length}")
+        scratch.drop(f"level-{length}")
+        level, length = following, 2 * length

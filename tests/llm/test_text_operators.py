@@ -195,6 +195,22 @@ def test_substring_edge_cases(spark):
         substring.repeated_substrings(docs, window=20, base=6)
 
 
+def test_repeat_levels_match_brute_force(spark):
+    texts = corpus(3)
+    words, expected = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts], {}
+    length = 5
+    while True:
+        count = Counter(tuple(w[s : s + length]) for w in words for s in range(len(w) - length + 1))
+        level = {(d, length): n for d, w in enumerate(words) if (n := sum(count[tuple(w[s : s + length])] > 1 for s in range(len(w) - length + 1)))}
+        if not level:
+            break
+        expected |= level
+        length *= 2
+    got = substring.repeat_levels(documents(spark, texts), base=5).collect()
+    assert {(r.doc_id, r.length): r.n_windows for r in got} == expected and length >= 80
+    assert substring.repeat_levels(documents(spark, texts).limit(0)).count() == 0
+
+
 def test_chosen_runs_are_window_minima():
     draw = np.random.default_rng(2)
     values = draw.integers(0, 50, 200).astype(np.uint64)  # many ties
