@@ -256,9 +256,11 @@ def b17_dataset_manifest(spark, sf_dir):
     return sinks.dataset_manifest(spark, s.root, ["customers", "nations", "absent"]).drop("path")
 
 
-@_query()
+@_query("SELECT 1::BIGINT AS n_files, 0::BIGINT AS n_problems")
 def b15_checksum_check(spark, sf_dir):
-    """Files whose checksum differs from a manifest of them (rows only: none)."""
+    """Files of a pack, and those whose checksum differs from the pack's manifest."""
     s = Scratch(spark, "pack")
-    sinks.write_jsonl(base(spark, sf_dir, "nation"), s.path("raw"))
-    return sinks.verify_checksums(spark, s.root, sinks.file_checksums(spark, s.root, "*.json.gz"))
+    sinks.write_jsonl(base(spark, sf_dir, "nation").coalesce(1), s.path("raw"))
+    manifest = sinks.file_checksums(spark, s.root, "*.json.gz")
+    problems = sinks.verify_checksums(spark, s.root, manifest).agg(F.count("*").alias("n_problems"))
+    return manifest.agg(F.count("*").alias("n_files")).crossJoin(F.broadcast(problems))  # one row each
