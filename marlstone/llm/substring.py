@@ -206,8 +206,8 @@ def repeated_substrings(
 
     windows = docs.join(alive, "doc_id").mapInArrow(_last_level(window, base), "doc_id long, start int, h long, g int")
     first = windows.where("h is not null").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    scratch.release()
     first = scratch.table(first.where("first < last").select("h", "g", "first"), "first")
+    scratch.release()
     later = windows.where("h is not null").join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "start")
     later = later.unionByName(windows.where("h is null").select("doc_id", "start"))
     later = scratch.table(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "later")
