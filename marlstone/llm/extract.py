@@ -31,11 +31,11 @@ FURNITURE_TAGS = frozenset(
     dialog iframe object embed svg canvas audio video map title link meta xmp noembed noframes""".split()
 )
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[._#@%-])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor(?:ed|s)?|promo(?:tion|tions)?|banners?|"
+    r"(?:^|[._#@%-])(?<!has-)(?<!no-)(?<!with-)(?<!without-)(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor(?:ed|s)?|promo(?:tion|tions)?|banners?|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|menus?|nav|navs|navbar|navigation|navigations|sidebars?|"
     r"side|rail|footers?|foot|headers?|masthead|topbar|toolbar|breadcrumbs?|comments?|commentlist|respond|reply|replies|"
     r"disqus|discussion|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|"
-    r"login|search|pagination|pager|widgets?|skip|copyright|complementary|contentinfo)(?=$|[._#@%-])"
+    r"login|search|pagination|pager|widgets?|skip|copyright|complementary|contentinfo)(?=$|[._#@%0-])"
 )
 REGION_WORDS = re.compile(r"(?:^|[._#@%-])(?:articlebody|main|article|post|entry|story|content|body-text|post-content|entry-content)(?=$|[._#@%-])")
 SALTS = 32
@@ -103,13 +103,14 @@ def _regions(element: Element, path: str, paths: frozenset[str], out: list[Eleme
             _regions(child, here, paths, out)
 
 
-def _named(element: Element, names: tuple[str, ...], out: list[Element]) -> None:
+def _named(element: Element, names: tuple[str, ...], out: list[Element], by_class: bool = True) -> None:
+    """Outermost elements of some names outside furniture (by tag and class, or by tag alone)."""
     for child in element.children:
-        if not isinstance(child, str) and not is_furniture(child):
+        if not isinstance(child, str) and not (is_furniture(child) if by_class else child.name in FURNITURE_TAGS):
             if child.name in names:
                 out.append(child)
             else:
-                _named(child, names, out)
+                _named(child, names, out, by_class)
 
 
 def main_text(source: str, plan: dict) -> str:
@@ -118,9 +119,10 @@ def main_text(source: str, plan: dict) -> str:
     regions: list[Element] = []
     if plan.get("paths"):
         _regions(root, "", frozenset(plan["paths"]), regions)
-    for names in (("article",), ("main",)):
-        if not regions:
-            _named(root, names, regions)
+    for by_class in (True, False):
+        for names in (("article",), ("main",)):
+            if not regions:
+                _named(root, names, regions, by_class)
     blocks: list[list[str]] = [[]]
     for region in regions or [root]:
         blocks.append([])

@@ -146,6 +146,9 @@ def test_article_without_furniture():
 def test_words_of_names_that_only_look_like_furniture_stay():
     body = "<article class='heading main-content'><div class='additional shader'>Kept</div><p class=leading>too</p></article>"
     assert text_of(PAGE.format(body)) == "Kept too"
+    assert text_of("<div class='layout has-sidebar'><article>Kept</article><div class='sidebar2'>No</div></div>") == "Kept"
+    assert text_of("<div class='page header-area'><article>Kept</article></div>") == "Kept"
+    assert text_of("<article>A<div class='comment12'>No</div></article>") == "A"
 
 
 @pytest.mark.parametrize("source", ["", "<", "<p", "</p></div>", "<p a='x>y", "text only", "<article>" * 300 + "deep", "<script>never ends", "<!-- open", "&#99999999;", "<p>" * 2000])
