@@ -199,19 +199,15 @@ def repeated_substrings(
     single = single.dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.arrays_zip("runs", "places")).alias("x"))
     single = single.select("doc_id", F.col("x.runs").alias("run"), F.col("x.places").alias("place"))
     again = scratch.table(single.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again")
-    scratch.release()
     alive = single.join(again, "run", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     alive = scratch.table(alive, "alive")
-    scratch.release()
 
     windows = docs.join(alive, "doc_id").mapInArrow(_last_level(window, base), "doc_id long, start int, h long, g int")
     first = windows.where("h is not null").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = scratch.table(first.where("first < last").select("h", "g", "first"), "first")
-    scratch.release()
     later = windows.where("h is not null").join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "start")
     later = later.unionByName(windows.where("h is null").select("doc_id", "start"))
     later = scratch.table(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "later")
-    scratch.release()
 
     changed = docs.join(later, "doc_id").mapInArrow(
         _apply(window, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string"
