@@ -8,7 +8,6 @@ folder under the system's temporary directory is used.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -50,15 +49,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Let shuffle files of finished jobs go now.
-
-        Spark removes them when the driver's JVM collects the plans that wrote
-        them; between large steps that may be long after they are of no use.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             delete_path(self.spark, self.path(name))
