@@ -18,6 +18,9 @@ from marlstone.llm.substring import repeated_substrings
 from marlstone.plans.scratch import Scratch
 from marlstone.plans.session import workers_see_package
 
+#: Near copies go at a similarity of 0.8; 48 bands of 5 miss such a pair with probability (1 - 0.8**5)**48 < 1e-8.
+SIMILARITY, BANDS, ROWS = 80, 48, 5
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
     workers_see_package(spark)
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_duplicates(docs, threshold=SIMILARITY, bands=BANDS, rows=ROWS).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
