@@ -1,18 +1,19 @@
 """License scans by conditional compression.
 
-Words near licensing terms form candidate blocks.  Each block is compressed
-plainly and with every template as a zstandard raw dictionary; templates are
-ranked by how many bytes they save, and the best ones are confirmed by the
-wording itself: exactly, or for long templates with few differing words.
+Every place of every template is found by the wording itself: exactly, or for
+long templates with few differing words, by an alignment over all words of the
+text.  The words near licensing terms around a notice are then compressed plainly
+and with its template as a zstandard raw dictionary, which gives the bytes saved.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -84,8 +85,6 @@ _SIGN = re.compile(rb"licen[cs]|copyright|permission|redistribut|unencumbered|do
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words on either side of a sign; blocks are cut into pieces of at most PIECE words that overlap by OVERLAP.
 REACH, PIECE, OVERLAP = 40, 2000, 400
-#: Templates to confirm in each piece, best first.
-RANKED = 6
 #: Templates of so many words may differ in up to DIFFERENCE of them.
 LONG, DIFFERENCE = 20, 0.1
 
@@ -120,21 +119,51 @@ class Template:
         dictionary = zstandard.ZstdCompressionDict(self.line, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False)
 
-    def differences(self, words: list[bytes], line: bytes) -> int | None:
-        """Words that differ from the template inside a piece, None if it is not there."""
-        if self.line in line:
-            return 0
+    def exact(self, line: bytes) -> list[tuple[int, int, int]]:
+        """(first word, end, 0) of every place of the very words."""
+        found, at, place, seen = [], line.find(self.line), 0, 0
+        while at >= 0:
+            place += line.count(b" ", seen, at)
+            found.append((place, place + len(self.words), 0))
+            seen, at = at, line.find(self.line, at + 1)
+        return found
+
+    def places(self, words: list[bytes], line: bytes, counts: Counter) -> list[tuple[int, int, int]]:
+        """(first word, end, differing words) of every place of the template, apart from each other."""
         n = len(self.words)
         if n < LONG:
-            return None
-        match = difflib.SequenceMatcher(None, self.words, words, autojunk=False)
-        parts = [m for m in match.get_matching_blocks() if m.size]
-        if not parts:
-            return None
-        matched = sum(m.size for m in parts)
-        extra = parts[-1].b + parts[-1].size - parts[0].b - matched
-        away = (n - matched) + max(0, extra)
-        return away if away <= DIFFERENCE * n else None
+            return self.exact(line)
+        most = int(DIFFERENCE * n)
+        # A place lacks at most so many of the template's words.
+        if sum((Counter(self.words) - counts).values()) > most:
+            return []
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        mine = np.array([numbers[w] for w in self.words])
+        codes = np.array([numbers.get(w, -1) for w in words])
+        away = _aligned(mine, codes, anywhere=True)
+        around = np.concatenate([[n + 1], away, [n + 1]])
+        ends = np.flatnonzero((away <= most) & (away < around[:-2]) & (away <= around[2:]))
+        taken = np.zeros(len(words), bool)
+        found = []
+        for end in sorted(ends.tolist(), key=lambda j: (away[j], j)):
+            d = int(away[end])
+            back = _aligned(mine[::-1], codes[max(0, end - n - d) : end][::-1], anywhere=False)
+            start = end - int(np.flatnonzero(back == d)[0])
+            if not taken[start:end].any():
+                taken[start:end] = True
+                found.append((start, end, d))
+        return found
+
+
+def _aligned(template: np.ndarray, codes: np.ndarray, *, anywhere: bool) -> np.ndarray:
+    """Least words to drop or add between the template and the words up to each end, from anywhere or from the first."""
+    at = np.arange(len(codes) + 1)
+    row = np.zeros_like(at) if anywhere else at
+    for c in template:
+        above = row + 1
+        above[1:] = np.where(codes == c, np.minimum(above[1:], row[:-1]), above[1:])
+        row = np.minimum.accumulate(above - at) + at
+    return row
 
 
 @cache
@@ -146,8 +175,9 @@ def templates() -> tuple[tuple[Template, ...], zstandard.ZstdCompressor]:
 def scan(text: bytes | None) -> list[tuple[str, int, int, float]]:
     """(licence, first word, differing words, share of bytes saved) of confirmed notices.
 
-    A notice that lies inside a confirmed longer one of the same piece is not
-    reported beside it.
+    A notice whose own words lie inside those of a longer one is not reported
+    beside it, nor is the sibling of a template of the same length that fits
+    the same words better.
     """
     if not text:
         return []
@@ -155,30 +185,27 @@ def scan(text: bytes | None) -> list[tuple[str, int, int, float]]:
     if not any(s in low for s in SIGNS):
         return []
     words = _WORD.findall(low)
+    line = b" " + b" ".join(words) + b" "
+    counts = Counter(words)
     known, plain = templates()
-    found: dict[tuple[str, int], tuple[int, float, int]] = {}
-    for a, b in blocks(words):
-        piece = words[a:b]
-        line = b" " + b" ".join(piece) + b" "
-        size = len(plain.compress(line))
-        ranked = sorted(((size - len(t.compressor.compress(line))) / size, -i) for i, t in enumerate(known))[::-1]
-        confirmed: list[tuple[Template, int, float]] = []
-        # The best savers, and every notice whose exact words stand here (a short one saves few bytes of a long block).
-        order = [(saved, known[-i]) for saved, i in ranked]
-        for k, (saved, t) in enumerate(order):
-            if k < RANKED or t.line in line:
-                away = t.differences(piece, line)
-                if away is not None:
-                    confirmed.append((t, away, saved))
-        for t, away, saved in confirmed:
-            if any(len(o.words) > len(t.words) and t.line in o.line for o, _, _ in confirmed):
-                continue
-            at = line.find(t.line)
-            place = a + (line[: at + 1].count(b" ") - 1 if at >= 0 else 0)
-            key = (t.licence, place)
-            if key not in found or found[key][0] > away:
-                found[key] = (away, saved, len(t.words))
-    return [(licence, place, away, saved) for (licence, place), (away, saved, _) in sorted(found.items(), key=lambda x: (x[0][1], x[0][0]))]
+    places = [(t, *p) for t in known for p in t.places(words, line, counts)]
+    if not places:
+        return []
+    starts, ends, sizes = (np.array(x) for x in zip(*((s, e, len(t.words)) for t, s, e, _ in places), strict=True))
+    aways = np.array([d for *_, d in places])
+    pieces = blocks(words)
+    found: dict[tuple[str, int], tuple[int, float]] = {}
+    for t, start, end, away in places:
+        better = (sizes > len(t.words)) | ((sizes == len(t.words)) & (aways < away))
+        if (better & (starts <= start) & (ends >= end)).any():
+            continue
+        a, b = next(((a, b) for a, b in pieces if a <= start and end <= b), (start, end))
+        near = b" " + b" ".join(words[a:b]) + b" "
+        size = len(plain.compress(near))
+        key = (t.licence, start)
+        if key not in found or found[key][0] > away:
+            found[key] = (away, (size - len(t.compressor.compress(near))) / size)
+    return [(licence, place, away, saved) for (licence, place), (away, saved) in sorted(found.items(), key=lambda x: (x[0][1], x[0][0]))]
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

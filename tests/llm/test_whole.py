@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from marlstone.llm import licenses
 
 
 def shingles(text):
@@ -25,3 +26,26 @@ def test_near_copies_between_80_and_85_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert set(texts) - kept == gone
+
+
+def notices(text):
+    return [(k, place, d) for k, place, d, _ in licenses.scan(text.encode())]
+
+
+def test_every_notice_of_a_list_is_found():
+    long = [(k, t) for k, texts in licenses.TEMPLATES.items() for t in texts if len(licenses.wording(t.encode())) >= licenses.LONG]
+    text, expected, at = "", [], 0
+    for licence, t in [*long, *long[::-1]]:
+        words = t.split()
+        words[len(words) // 2] = "otherwise"
+        text += " ".join(words) + " end of this entry. "
+        expected.append((licence, at))
+        at += len(licenses.wording(" ".join(words).encode())) + 4
+    assert [(k, place) for k, place, _ in notices(text)] == expected
+    bsd3, bsd2 = licenses.TEMPLATES["BSD-3-Clause"][0], licenses.TEMPLATES["BSD-2-Clause"][0]
+    assert [k for k, _, _ in notices(f"{bsd3} one more entry {bsd2}")] == ["BSD-3-Clause", "BSD-2-Clause"]
+    assert [k for k, _, _ in notices(bsd3)] == ["BSD-3-Clause"]
+    mit = "Licensed under the MIT License"
+    assert notices(f"{mit} . {mit}") == [("MIT", 0, 0), ("MIT", 5, 0)]
+    for licence in ("GPL-3.0", "GPL-2.0"):
+        assert [k for k, _, _ in notices(licenses.TEMPLATES[licence][1])] == [licence]
