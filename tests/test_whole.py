@@ -31,3 +31,15 @@ def test_recommender_runs_under_the_operators_own_limits(spark, tmp_path):
     got = found["f04_recommendations_whole"](spark, root)
     assert set(rows(got, "canonical_id", "recommended_id", "rank", "score")) == expected
     assert len(expected) == 1500
+
+
+def test_whole_texts_of_all_documents_are_read(spark, tmp_path):
+    texts = {1: "One two\nThree one", 2: " ".join(f"w{i}" for i in range(300)) + "\none\n" + "Three", 3: None, 4: ""}
+    root = saved(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    found = __spark_entry__.queries()
+    long = texts[2].lower().split()
+    assert rows(found["i04_distinct_titles_whole"](spark, root)) == sorted([(1, "one|two|three"), (2, "|".join(long)), (3, None), (4, None)], key=repr)
+    assert {r.doc_id: (r.unicode_name, r.ascii_name, r.collapsed) for r in found["i01_normal_forms_whole"](spark, root).collect()} == {
+        1: ("one two three one", "one two three one", "One two Three one"), 2: (" ".join(long), " ".join(long), " ".join(texts[2].split())), 3: (None,) * 3, 4: (None,) * 3,
+    }
+    assert {r.doc_id: r.jaccard for r in found["i22_set_jaccard_whole"](spark, root).collect()}[1] == round(2 / 303, 6)
