@@ -211,13 +211,23 @@ t AS (SELECT pair_id, label, src AS training_label_source, rule AS synthetic_neg
   + (publisher_overlap IS NOT NULL)::INT + 1 + 1 + (tag_jaccard IS NOT NULL)::INT + 1 + (description_language_match IS NOT NULL)::INT + 1 AS available_feature_count FROM c)"""
 
 
-def training_rows(spark, sf_dir):
+def training_rows(spark, sf_dir, *, whole: bool = False):
     v = table(spark, sf_dir, "view")
     pairs = v.select("pair_id", "source_a", "source_id_a", "source_b", "source_id_b", "candidate_source", "label_source", "label_value", "name_a", "name_b", "release_year_a", "release_year_b")
     rows = v.select("pair_id", *features.FEATURES)
     picked = v.where("review_status = 'reviewed' and review_label is not null").where((F.col("source_id_a").cast("bigint") + F.col("source_id_b").cast("bigint")) % 3 == 0)
+    picked = v.where("review_status = 'reviewed' and review_label is not null") if whole else picked
     reviews = picked.select("pair_id", F.col("review_label").cast("int").alias("manual_label"))
-    return training.training_frame(pairs, rows, table(spark, sf_dir, "entities"), reviews, ratio=1)
+    return training.training_frame(pairs, rows, table(spark, sf_dir, "entities"), reviews, ratio=training.MAX_NEGATIVE_RATIO if whole else 1)
+
+
+_TRAIN_WHOLE = _TRAIN.replace(" AND nth2 % 3 = 0", "").replace("SELECT 1 * count(*)", f"SELECT {training.MAX_NEGATIVE_RATIO} * count(*)")
+
+
+@_query(f"{_TRAIN_WHOLE} SELECT * FROM t")
+def d01_training_frame_whole(spark, sf_dir):
+    """With all reviewed labels and the operator's own ratio of negatives."""
+    return training_rows(spark, sf_dir, whole=True).select("pair_id", "label", "training_label_source", "synthetic_negative_rule", "available_feature_count")
 
 
 @_query(f"{_TRAIN} SELECT * FROM t")
@@ -232,6 +242,13 @@ def e19_training_stats(spark, sf_dir):
     return training.training_stats(training_rows(spark, sf_dir))
 
 
+@_query(f"""{_TRAIN_WHOLE} SELECT 'row_count' AS metric, '' AS key, count(*)::DOUBLE AS value FROM t UNION ALL SELECT 'positive_rate', '', round(avg(label), 6) FROM t
+UNION ALL SELECT 'min_available_features', '', min(available_feature_count)::DOUBLE FROM t UNION ALL SELECT 'avg_available_features', '', round(avg(available_feature_count), 6) FROM t UNION ALL SELECT 'max_available_features', '', max(available_feature_count)::DOUBLE FROM t
+UNION ALL SELECT 'label_count', label::VARCHAR, count(*)::DOUBLE FROM t GROUP BY label UNION ALL SELECT 'label_source_count', training_label_source, count(*)::DOUBLE FROM t GROUP BY training_label_source""")
+def e19_training_stats_whole(spark, sf_dir):
+    return training.training_stats(training_rows(spark, sf_dir, whole=True))
+
+
 # --- metrics ---------------------------------------------------------------------------------------
 
 _SCORED = with_tables("view") + ", s AS (SELECT pair_id, review_label::INT AS label, same_game_probability AS p, model_decision AS decision FROM view WHERE review_label IS NOT NULL)"

@@ -3,6 +3,8 @@
 from conftest import rows
 
 import __spark_entry__
+from marlstone.operators import training
+from marlstone.queries import matching
 
 
 def saved(spark, folder, name, data, schema):
@@ -43,3 +45,26 @@ def test_whole_texts_of_all_documents_are_read(spark, tmp_path):
         1: ("one two three one", "one two three one", "One two Three one"), 2: (" ".join(long), " ".join(long), " ".join(texts[2].split())), 3: (None,) * 3, 4: (None,) * 3,
     }
     assert {r.doc_id: r.jaccard for r in found["i22_set_jaccard_whole"](spark, root).collect()}[1] == round(2 / 303, 6)
+
+
+def test_components_and_documents_of_whole_tables(spark, tmp_path):
+    orders = [(k, k % 700) for k in range(1500)]
+    root = saved(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long")
+    low = {}
+    for k, c in orders:
+        low[c] = min(low.get(c, 0), -1 - k)
+    found = __spark_entry__.queries()
+    assert dict(rows(found["k01_components_whole"](spark, root), "node", "component")) == low | {-1 - k: low[c] for k, c in orders}
+    parts = [(i, f"part {i}", 5) for i in range(390, 450)]
+    saved(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_size int")
+    got = {r.source_id: r.name for r in found["j02_wikidata_entities_whole"](spark, root).collect()}
+    assert all(got[f"Q{i}"] == f"ru part {i}" for i, _, _ in parts)
+
+
+def test_training_takes_all_reviews_and_the_operators_ratio(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(training, "training_frame", lambda p, f, e, reviews, *, ratio: taken.update(n=reviews.count(), ratio=ratio))
+    root = "/root/testdata/sf0.001"
+    matching.training_rows(spark, root, whole=True)
+    reviewed = matching.table(spark, root, "view").where("review_status = 'reviewed' and review_label is not null").count()
+    assert taken == {"n": reviewed, "ratio": training.MAX_NEGATIVE_RATIO} and reviewed
