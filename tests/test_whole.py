@@ -68,3 +68,8 @@ def test_training_takes_all_reviews_and_the_operators_ratio(spark, monkeypatch):
     matching.training_rows(spark, root, whole=True)
     reviewed = matching.table(spark, root, "view").where("review_status = 'reviewed' and review_label is not null").count()
     assert taken == {"n": reviewed, "ratio": training.MAX_NEGATIVE_RATIO} and reviewed
+
+
+def test_risky_components_are_not_limited(spark):
+    plan = __spark_entry__.queries()["e13_risky_components"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().logical().toString()
+    assert "Limit" not in plan
