@@ -134,9 +134,10 @@ def test_title_url(spark):
 
 
 def test_requests_and_redaction():
-    a = text.request_hash(source="RAWG", endpoint="https://h/x?b=1&key=s", method="get", params={"token": "1", "z": [1, {"k": 2}]})
-    b = text.request_hash(source="rawg", endpoint="https://h/x?key=other&b=1", method="GET", params={"z": [1, {"k": 2}], "token": "2"})
+    a = text.request_digest("RAWG", "https://h/x?b=1&key=s", "get", {"token": "1", "z": [1, {"k": 2}]})
+    b = text.request_digest("rawg", "https://h/x?key=other&b=1", "GET", {"z": [1, {"k": 2}], "token": "2"})
     assert a == b and len(a) == 64
-    assert text.redact_mapping({"Api-Key": "x", "a": {"password": "p", "b": 1}}) == {"Api-Key": text.REDACTED, "a": {"password": text.REDACTED, "b": 1}}
-    assert text.redact_url("postgresql://u:p@h:5/db?token=t&a=1") == "postgresql://u:%s@h:5/db?a=1&token=%s" % (text.REDACTED, text.REDACTED.replace("*", "%2A"))
-    assert text.redact_headers(None) == {}
+    assert text.masked({"Api-Key": "x", "a": {"password": "p", "b": 1}}) == {"Api-Key": text.REDACTED, "a": {"password": text.REDACTED, "b": 1}}
+    assert text.masked_url("postgresql://u:p@h:5/db?token=t&a=1") == "postgresql://u:%s@h:5/db?a=1&token=%s" % (text.REDACTED, text.REDACTED.replace("*", "%2A"))
+    assert text.masked(None) is None and text.masked({"list": [{"my-token": 1}, 2]}) == {"list": [{"my-token": text.REDACTED}, 2]}
+    assert text.masked_url("https://u@h/x") == "https://u:@h/x" and text.masked_url("https://h:8/x?key=") == "https://h:8/x?key=%2A%2A%2AREDACTED%2A%2A%2A"

@@ -97,8 +97,8 @@ def test_request_texts():
 
 def test_pacing_and_retry():
     slept, clock = [], iter([0.0, 0.1, 5.0])
-    pacer = requests.Pacer(requests.RateLimit(2, 1.0), clock=lambda: next(clock), sleep=slept.append)
-    assert [round(pacer.acquire(), 2) for _ in range(3)] == [0.0, 0.4, 0.0]
+    pacer = requests.paced(requests.RateLimit(2, 1.0), clock=lambda: next(clock), sleep=slept.append)
+    assert [round(next(pacer), 2) for _ in range(3)] == [0.0, 0.4, 0.0]
     answers, waits = iter([requests.Answer(503, ""), requests.Answer(429, ""), requests.Answer(200, "{}")]), []
     assert requests.call_with_retry(lambda: next(answers), sleep=waits.append).status == 200 and waits == [0.5, 1.0]
     assert requests.call_with_retry(lambda: requests.Answer(403, ""), sleep=waits.append).status == 403
