@@ -6,7 +6,8 @@
    first round that reaches a bin fills it and rounds go on until none is empty
    (from round ``t`` on, round ``t + j`` throws everything into bin ``j``, which
    bounds the number of rounds).  Bands of coordinates become bucket keys.
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Documents with equal sets form a class; only one row of its smallest id goes
+   on, under a row number, and only numbers are aggregated from here on.
 3. Bucket mates are joined to the bucket's smallest id; components of this
    (unchecked) graph are the units in which pairs are verified, so that a set
    travels once.  Units over ``unit_rows`` rows or ``unit_shingles`` shingles
@@ -37,10 +38,12 @@ SHINGLE = 5
 BANDS, ROWS = 40, 6
 THRESHOLD = 85
 #: Most rows and shingles of a unit, and of one block of a larger one.
-UNIT_ROWS = 2048
-UNIT_SHINGLES = 2_000_000
-#: Ids of candidate documents are broadcast up to this many (8 bytes each).
-BROADCAST_IDS = 1_000_000
+UNIT_ROWS = 1024
+UNIT_SHINGLES = 1_000_000
+#: Candidate documents (an id, a row number and a digest each) are broadcast up to this many.
+BROADCAST_IDS = 200_000
+#: Documents signed between two output batches, and rows compared at once inside a unit.
+SIGN_ROWS, STRIPE = 250, 256
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -48,9 +51,9 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     words = spaced(text.lower() if text else None)
     if not words:
         return np.empty(0, np.uint64)
-    hashes = word_hashes(words)
-    # A short sequence must not collide with a full shingle of other words.
-    return np.unique(window_hashes(hashes, min(size, len(words))))
+    hashes = window_hashes(word_hashes(words), min(size, len(words)))
+    # A short sequence is no shingle of other words: its length goes into its hash.
+    return np.unique(hashes if len(words) >= size else mix(hashes + np.uint64(len(words))))
 
 
 def _seed(i: int) -> np.uint64:
@@ -91,27 +94,45 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_digest(elements: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
 def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, digests, keys = [], [], []
-            for text in utf8_rows(batch.column(1)):
-                elements = shingle_set(text)
-                counts.append(len(elements))
-                digests.append(xxhash.xxh3_128_digest(elements.tobytes()))
-                keys.append(band_keys(sketch(elements, bands * rows), bands, rows) if len(elements) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), list_of(keys, pa.int64())],
-                ["doc_id", "n_shingles", "digest", "bands"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, SIGN_ROWS):
+                batch = whole.slice(start, SIGN_ROWS)
+                counts, digests, keys = [], [], []
+                for text in utf8_rows(batch.column(1)):
+                    elements = shingle_set(text)
+                    counts.append(len(elements))
+                    digests.append(set_digest(elements))
+                    keys.append(band_keys(sketch(elements, bands * rows), bands, rows) if len(elements) else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), list_of(keys, pa.int64())],
+                    ["doc_id", "n_shingles", "digest", "bands"],
+                )
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t).view(np.int64) for t in utf8_rows(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_of(sets, pa.int64())], ["doc_id", "shingles"])
+    """(row, digest, text) -> (row, shingles) of texts that have the digest, once a task for each row number."""
+    done: set[int] = set()
+    for whole in batches:
+        for start in range(0, whole.num_rows, SIGN_ROWS):
+            batch = whole.slice(start, SIGN_ROWS)
+            rows, sets = [], []
+            for row, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2))):
+                if row in done:
+                    continue
+                elements = shingle_set(text)
+                if set_digest(elements) == digest:
+                    done.add(row)
+                    rows.append(row)
+                    sets.append(elements.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), list_of(sets, pa.int64())], ["row", "shingles"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -138,17 +159,24 @@ class _Forest:
         return x != y
 
 
-def _same_band(bands: np.ndarray) -> np.ndarray:
-    """Upper triangle (i < j) of which rows share a value in some column, one byte a pair."""
-    n = len(bands)
-    shared = np.zeros((n, n), bool)
-    for column in bands.T:
-        order = np.argsort(column, kind="stable")
-        value = column[order]
-        edges = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-        for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
-            shared[np.ix_(order[a:b], order[a:b])] = True
-    return np.triu(shared, 1)
+class _Buckets:
+    """Which rows share a value in some column of ``bands``."""
+
+    def __init__(self, bands: np.ndarray):
+        order = np.argsort(bands, axis=0, kind="stable")
+        self.members = []  # of each column: rows by value, and each row's range among them
+        for c in range(bands.shape[1]):
+            value = bands[order[:, c], c]
+            head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+            of = np.repeat(np.arange(len(head) - 1), np.diff(head))
+            place = np.empty(len(bands), np.int64)
+            place[order[:, c]] = of
+            self.members.append((order[:, c], head[place], head[place + 1]))
+
+    def mates(self, i: int, out: np.ndarray) -> None:
+        """Mark the rows that share a value with row ``i``."""
+        for rows, low, high in self.members:
+            out[rows[low[i] : high[i]]] = True
 
 
 def _shared_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -167,51 +195,63 @@ def _shared_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int
     return owner, column, int(column[-1]) + 1
 
 
-def _common_counts(m: int, owner: np.ndarray, column: np.ndarray, columns: int, width: int = 4096) -> np.ndarray:
-    """Matrix of intersection sizes, by products of 0/1 column blocks."""
-    total = np.zeros((m, m), np.float32)
-    edges = np.searchsorted(column, np.arange(0, columns + width, width))
+def _common_counts(start: int, stop: int, m: int, owner: np.ndarray, column: np.ndarray, edges: np.ndarray, width: int) -> np.ndarray:
+    """Intersection sizes of rows ``start`` to ``stop`` with all rows, by products of 0/1 column blocks."""
+    total = np.zeros((stop - start, m), np.float32)
     for k in range(len(edges) - 1):
         a, b = edges[k], edges[k + 1]
-        if a < b:
-            block = np.zeros((m, min(width, columns - k * width)), np.float32)
-            block[owner[a:b], column[a:b] - k * width] = 1
-            total += block @ block.T
+        rows = owner[a:b]
+        if a == b or not ((rows >= start) & (rows < stop)).any():
+            continue
+        block = np.zeros((m, width), np.float32)
+        block[rows, column[a:b] - k * width] = 1
+        total += block[start:stop] @ block.T
     return total
 
 
 def unit_links(ids: np.ndarray, bands: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside one unit.
+    """Spanning forest of the links inside one unit, found in stripes of rows.
 
     With ``bands`` only pairs that share a bucket are looked at (the others are
     below the threshold but for the stated chance); without, all pairs are.
+    Rows go by size, so that a row's possible partners are a slice.
     """
-    n = len(ids)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order]
+    buckets = _Buckets(bands[order]) if bands is not None else None
+    n, width = len(ids), 2048
     forest, links = _Forest(n), []
-    size = np.array([len(s) for s in sets], np.float64)
-    open_pairs = _same_band(bands) if bands is not None else np.triu(np.ones((n, n), bool), 1)
-    open_pairs &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-    # A product costs about n * n * columns / 2e10 s, a single pair about 3e-5 s.
-    product = False
-    if n > 24:
-        owner, column, columns = _shared_columns(sets)
-        product = n * n * columns / 2e10 < 3e-5 * np.count_nonzero(open_pairs)
-    if product:
-        common = _common_counts(n, owner, column, columns)
-        for i in range(n):
-            open_pairs[i] &= 100 * common[i] >= percent * (size[i] + size - common[i])
-    for i in range(n):
-        for j in np.flatnonzero(open_pairs[i]).tolist():
-            if forest.root(i) != forest.root(j) and (product or _linked(sets[i], sets[j], percent)):
-                forest.join(i, j)
-                links.append((int(ids[i]), int(ids[j])))
+    size = np.array([len(s) for s in sets], np.int64)
+    reach = np.searchsorted(size, 100 * size // percent, side="right")
+    owner, column, columns = _shared_columns(sets) if n > 24 else (None, None, 0)
+    edges = np.searchsorted(column, np.arange(0, columns + width, width)) if n > 24 else None
+    for start in range(0, n, STRIPE):
+        stop = min(n, start + STRIPE)
+        wanted = np.zeros((stop - start, n), bool)
+        for i in range(start, stop):
+            if buckets is None:
+                wanted[i - start, i + 1 : reach[i]] = True
+            else:
+                buckets.mates(i, wanted[i - start])
+                wanted[i - start, : i + 1] = False
+                wanted[i - start, reach[i] :] = False
+        # A product costs about rows * n * columns / 2e10 s, a single pair about 3e-5 s.
+        product = n > 24 and (stop - start) * n * columns / 2e10 < 3e-5 * np.count_nonzero(wanted)
+        if product:
+            common = _common_counts(start, stop, n, owner, column, edges, width)
+            wanted &= 100 * common >= percent * (size[start:stop, None] + size[None, :] - common)
+        for i in range(start, stop):
+            for j in np.flatnonzero(wanted[i - start]).tolist():
+                if forest.root(i) != forest.root(j) and (product or _linked(sets[i], sets[j], percent)):
+                    forest.join(i, j)
+                    links.append((int(ids[i]), int(ids[j])))
     return links
 
 
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["doc_id"].to_numpy()
+        ids = table["row"].to_numpy()
         column = table["shingles"].chunk(0)
         ends = column.offsets.to_numpy()
         flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -230,28 +270,28 @@ def _verify(percent: int):
 
 
 def _units(scratch: Scratch, members: DataFrame, sizes: DataFrame, counts: DataFrame, unit_rows: int, unit_shingles: int) -> DataFrame:
-    """(unit, doc_id, by_band): where each candidate's set has to go.
+    """(unit, row, by_band): where each candidate's set has to go.
 
-    ``sizes`` has rows and shingles of each bucket, ``counts`` those of each
-    document.
+    ``sizes`` has rows and shingles of each bucket, ``counts`` the shingles of
+    each class.
     """
-    stars = members.join(sizes, "key").where("doc_id <> low").select("doc_id", "low")
-    clusters = connected_components(stars, scratch, "coarse").withColumnRenamed("node", "doc_id")
+    stars = members.join(sizes, "key").where("row <> low").select("row", "low")
+    clusters = connected_components(stars, scratch, "coarse").withColumnRenamed("node", "row")
     clusters = scratch.table(clusters, "clusters")
-    weighed = clusters.join(counts, "doc_id").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    weighed = clusters.join(counts, "row").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
     big = weighed.where((F.col("rows") > unit_rows) | (F.col("shingles") > unit_shingles))
     # As a written table it is small enough to be broadcast, or at least a plain shuffle beside the clusters'.
     big = scratch.table(big.select("component"), "big")
     small = clusters.join(big, "component", "left_anti").select(
         F.struct(F.lit(0).alias("kind"), F.col("component").alias("of"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("unit"),
-        "doc_id",
+        "row",
         F.lit(True).alias("by_band"),
     )
-    rest = clusters.join(big, "component", "left_semi").select("doc_id")
+    rest = clusters.join(big, "component", "left_semi").select("row")
     blocks = F.ceil(F.greatest(F.col("rows") / unit_rows, F.col("shingles") / unit_shingles)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     by_bucket = (
-        members.join(rest, "doc_id", "left_semi")
+        members.join(rest, "row", "left_semi")
         .join(sizes.select("key", "rows", "shingles"), "key")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
@@ -260,7 +300,7 @@ def _units(scratch: Scratch, members: DataFrame, sizes: DataFrame, counts: DataF
             F.struct(
                 F.lit(1).alias("kind"), F.col("key").alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
             ).alias("unit"),
-            "doc_id",
+            "row",
             F.lit(False).alias("by_band"),
         )
     )
@@ -286,46 +326,42 @@ def near_duplicates(
     cent or more, by an exact check on the full sets.
 
     Null, empty or blank text: n_shingles 0, linked with nothing, kept.  Equal
-    sets (repeated rows, copies): one class, the smallest id is kept.  A null id
-    forms no link and keeps component null and kept true.  Other columns of the
-    input, whatever their names, are ignored.  Empty input: empty result.
+    sets (repeated rows, copies): one class, the smallest id is kept.  Rows that
+    repeat an id with other texts are documents of their own under one id, which
+    all are kept if that id is their group's smallest.  A null id forms no link
+    and keeps component null and kept true.  Other columns of the input,
+    whatever their names, are ignored.  Empty input: empty result.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table(
-        docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed"
-    )
+    signed = docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>")
+    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # numbers are fixed by the write
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes"
-    )
-    keys = (
-        usable.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    )
+    first = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min_by("row", "doc_id").alias("row"))
+    classes = scratch.table(first, "classes")
+    reps = scratch.table(usable.select("row", "n_shingles", "bands").join(classes.select("row"), "row", "left_semi"), "reps")
+    keys = reps.select("row", "n_shingles", F.explode("bands").alias("key"))
     sizes = scratch.table(
         keys.groupBy("key")
-        .agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"), F.min("doc_id").alias("low"))
+        .agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"), F.min("row").alias("low"))
         .where("rows > 1"), "sizes"
     )
     members = scratch.table(keys.drop("n_shingles").join(sizes.select("key"), "key", "left_semi"), "members")
-    counts = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
-    units = scratch.table(_units(scratch, members, sizes, counts, unit_rows, unit_shingles), "units")
-
-    wanted = units.select("doc_id").distinct()
-    n_wanted = wanted.count()
-    wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    load = units.join(sets, "doc_id").join(
-        signed.select("doc_id", "bands").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id"
-    )
+    units = scratch.table(_units(scratch, members, sizes, classes.select("row", "n_shingles"), unit_rows, unit_shingles), "units")
+
+    candidates = units.select("row").distinct()
+    wanted = scratch.table(classes.join(candidates, "row", "left_semi").select("doc_id", "row", "digest"), "wanted")
+    near = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda side: side)
+    sets = docs.join(near(wanted), "doc_id").select("row", "digest", "text").mapInArrow(_sets, "row long, shingles array<long>")
+    load = units.join(sets, "row").join(reps.select("row", "bands").join(near(wanted.select("row")), "row", "left_semi"), "row")
     links = load.groupBy("unit").applyInArrow(_verify(threshold), "a long, b long")
     groups = connected_components(scratch.table(links, "links"), scratch, "groups")
 
-    label = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
+    grouped = groups.withColumnRenamed("node", "row").join(classes.select("row", "doc_id"), "row")
+    lowest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = classes.join(grouped.join(lowest, "component").select("row", "component_id"), "row", "left").select(
+        "digest", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     result = (
         signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
@@ -338,5 +374,5 @@ def near_duplicates(
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     result = scratch.table(result, "result")
-    scratch.drop("signed", "classes", "sizes", "members", "units", "clusters", "big", "links")
+    scratch.drop("signed", "classes", "reps", "sizes", "members", "units", "wanted", "clusters", "big", "links")
     return result
