@@ -90,6 +90,35 @@ def test_decontamination_matches_brute_force(spark, limit):
     assert any(r.n_hit for r in got) and any(not r.n_hit and r.n_words for r in got)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0], ids=["broadcast", "joined"])
+def test_rows_with_repeated_and_null_ids(spark, limit):
+    text, other = "a b c d e f g h i j k", "one two"
+    data = [(1, text), (1, text), (1, other), (None, text), (None, "x"), (2, None), (3, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "b c d e f g h i j k"), (8, "two"), (8, "two"), (None, "x")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in decontaminate.contamination(docs, bench, broadcast_bytes=limit).collect()), key=str)
+    assert got == sorted([(1, 11, 10, ["7"])] * 2 + [(1, 2, 1, ["8"]), (None, 11, 10, ["7"]), (None, 1, 1, ["None"]), (2, 0, 0, []), (3, 0, 0, [])], key=str)
+    clean = decontaminate.clean_documents(docs, bench, broadcast_bytes=limit)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == [(2, None), (3, "")]
+    cut = sorted((str(r.doc_id), r.text) for r in decontaminate.cut_hits(docs, bench, broadcast_bytes=limit).where("text is not null").collect())
+    assert cut == [("1", "a" + " " * 10)] * 2 + [("1", "one "), ("3", ""), ("None", ""), ("None", "a" + " " * 10)]
+
+
+def test_index_fits_its_stated_size():
+    draw = random.Random(1)
+    words = vocabulary(draw, 30_000)
+    items = [(i, " ".join(draw.choice(words) for _ in range(60)).encode()) for i in range(3000)]
+    index = decontaminate.BenchmarkIndex(items)
+    assert index.size_in_bytes() <= 6.5 * sum(len(t) for _, t in items)
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda codes, size: np.zeros(max(0, len(codes) - size + 1), np.uint64))
+    index = decontaminate.BenchmarkIndex([(1, b"a b"), (2, b"c d"), (3, b"a b"), (4, b"e f")], 2)
+    hit, items = index.scan([b"x", b"a", b"b", b"c"])
+    assert hit.tolist() == [False, True, True, False] and items == {"1", "3"}
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = documents(spark, ["a b", None]), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
@@ -128,12 +157,12 @@ def groups(texts):
     return {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("unit_rows", [2048, 3], ids=["by cluster", "by bucket and block"])
-def test_near_duplicates_match_brute_force(spark, unit_rows):
+@pytest.mark.parametrize(("unit_rows", "unit_shingles"), [(1024, 10**6), (3, 10**6), (1024, 500)], ids=["by cluster", "by bucket and block", "by shingles"])
+def test_near_duplicates_match_brute_force(spark, unit_rows, unit_shingles):
     texts = corpus(11)
     base = texts[-3].split()[:300]
     texts += [" ".join(w if (k * 7 + i) % 150 else f"e{i}" for i, w in enumerate(base)) for k in range(12)]  # a chain-like group
-    got = neardup.near_duplicates(documents(spark, texts), unit_rows=unit_rows).collect()
+    got = neardup.near_duplicates(documents(spark, texts), unit_rows=unit_rows, unit_shingles=unit_shingles).collect()
     expected = groups(texts)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == expected
     assert sum(not k for _, _, k in expected.values()) > 20
@@ -149,6 +178,33 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    texts = {(5, "a b c d e f"), (5, "q r s t u v"), (2, "q r s t u v"), (9, "a b c d e f"), (1, "short"), (1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")}
+    docs = spark.createDataFrame(sorted(texts), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 22, 1, True), (2, 2, 2, True), (5, 2, 2, False), (5, 2, 5, True), (9, 2, 5, False)]
+
+
+@pytest.mark.parametrize("banded", [True, False])
+def test_unit_links_match_all_pairs(banded):
+    draw = np.random.default_rng(5)
+    base = [np.unique(draw.integers(0, 10**6, n).astype(np.uint64)) for n in (5, 40, 40, 300, 2000)]
+    sets = [np.unique(np.concatenate([b[draw.random(len(b)) > 0.06], draw.integers(0, 10**6, 1).astype(np.uint64)])) for b in base for _ in range(130)]
+    ids = draw.permutation(len(sets))
+    bands = np.repeat(np.arange(len(sets))[:, None] // 65, 3, axis=1) if banded else None
+    forest = neardup._Forest(len(sets))
+    place = {int(i): k for k, i in enumerate(ids)}
+    for a, b in neardup.unit_links(ids, bands, sets, 80):
+        assert forest.join(place[a], place[b])  # a forest: no link twice
+    whole = neardup._Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if (bands is None or bands[i, 0] == bands[j, 0]) and neardup._linked(sets[i], sets[j], 80):
+                whole.join(i, j)
+    assert [forest.root(i) for i in range(len(sets))] == [whole.root(i) for i in range(len(sets))]
+    assert 10 < len({whole.root(i) for i in range(len(sets))}) < len(sets) - 100
+
+
 def test_sketches_fill_and_estimate():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 600).astype(np.uint64))
@@ -174,7 +230,7 @@ def removed(texts, window):
     return {d: (len(w), len(g), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()) for d, (w, g) in enumerate(zip(words, gone))}
 
 
-@pytest.mark.parametrize(("window", "base"), [(20, 10), (8, 2), (6, 3)])
+@pytest.mark.parametrize(("window", "base"), [(20, 5), (20, 10), (8, 2), (6, 3)])
 def test_substrings_match_brute_force(spark, window, base):
     texts = corpus(window)
     got = substring.repeated_substrings(documents(spark, texts), window=window, base=base, with_text=True).collect()
@@ -191,8 +247,38 @@ def test_substring_edge_cases(spark):
     doubled = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, text, "en", "s", 1, None, None, None, None)], SCHEMA))
     assert sorted((r.doc_id is None, r.n_removed) for r in substring.repeated_substrings(doubled).collect()) == [(False, 0), (False, 0), (False, 0), (True, 0)]
     assert substring.repeated_substrings(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        substring.repeated_substrings(docs, window=20, base=6)
+    for base in (6, 20):
+        with pytest.raises(ValueError):
+            substring.repeated_substrings(docs, window=20, base=base)
+
+
+def test_window_hashes_are_of_the_words_alone():
+    draw = np.random.default_rng(3)
+    codes = draw.integers(0, 2**63, 60).astype(np.uint64)
+    again = np.concatenate([codes[30:35], codes[7:27], codes[2:5]])
+    for window in (20, 12, 7):
+        a, b = substring._doubled(codes, window, substring.FIRST), substring._doubled(again, window, substring.FIRST)
+        assert len(a) == 60 - window + 1 and a[7] == b[5] and len(np.intersect1d(a, b)) == 20 - window + 1
+        assert not np.intersect1d(a, substring._doubled(codes, window, substring.SECOND)).size
+
+
+def test_candidates_never_lose_a_repeat():
+    draw = np.random.default_rng(8)
+    passage = draw.integers(0, 50, 40).astype(np.uint64) + np.uint64(1000)
+    texts = [np.concatenate([draw.integers(0, 40, 50).astype(np.uint64), passage[k : k + 30], draw.integers(0, 40, 50).astype(np.uint64)]) for k in range(0, 10, 3)]
+    count = Counter(tuple(t[s : s + 20]) for t in texts for s in range(len(t) - 19))
+    runs = [substring.window_hashes(t, 5) for t in texts]
+    chosen = [np.unique(substring.chosen_runs(r, 16)) for r in runs]
+    seen = Counter(int(r[p]) for r, c in zip(runs, chosen) for p in c)
+    first = [substring._candidates(t, np.array([k for k, p in enumerate(c) if seen[int(r[p])] > 1]), 5, 5, 20) for t, r, c in zip(texts, runs, chosen)]
+    ten = [substring.window_hashes(t, 10) for t in texts]
+    at = [substring.chosen_runs(r, 6) for r in ten]
+    parts = [np.unique(np.concatenate([a[np.flatnonzero(m)], a[np.flatnonzero(m) + 5]])) for a, m in zip(at, first)]
+    seen = Counter(int(r[p]) for r, c in zip(ten, parts) for p in c)
+    second = [substring._candidates(t, np.array([p for p in c if seen[int(r[p])] > 1]), 10, 5, 20) for t, r, c in zip(texts, ten, parts)]
+    for t, one, two in zip(texts, first, second):
+        again = np.array([count[tuple(t[s : s + 20])] > 1 for s in range(len(t) - 19)])
+        assert again.any() and not (again & ~one).any() and not (again & ~two).any() and max(one.sum(), two.sum()) < len(one) / 2
 
 
 def test_repeat_levels_match_brute_force(spark):
