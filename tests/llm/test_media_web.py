@@ -74,7 +74,23 @@ def test_media_table(spark):
     assert got[2][2:] == got[7][2:] and got[0][2:8] == got[1][2:8] and media.store_media(docs.limit(0)).count() == 0
     frames = media.gif_frames(media.store_media(docs.where("doc_id = 6")), id_col="doc_id").orderBy("frame").collect()
     assert len(frames) > 1 and frames[1].start_ms == 100 and sum(frames[0].red) == 192 * 256
-    assert media.gif_frames(spark.createDataFrame([(1, bytearray(b"no gif")), (2, None)], "media_id long, media binary")).count() == 0
+    assert [(f.start_ms, f.red, f.disposal) for f in got[6].frames] == [(f.start_ms, f.red, 2) for f in frames]
+    assert sum(frames[-1].red) == got[6].payload_bytes - 192 * 256 * (len(frames) - 1)  # earlier frames are cleared
+
+
+def test_broken_and_oversize_gifs_give_no_row(spark):
+    whole = build([(0, 0, 2, 2, [0, 1, 2, 3], 1, None, 5, False)])
+    giant = lambda w, h: b"GIF89a" + bytes([w % 256, w // 256, h % 256, h // 256, 0x80, 0, 0]) + bytes(6) + b"\x2c" + bytes(4) + bytes([w % 256, w // 256, h % 256, h // 256, 0, 2, 1, 0, 0, 0x3B])
+    rows = [(i, bytearray(whole[:i])) for i in range(len(whole))] + [(1000, bytearray(giant(65535, 65535))), (1001, bytearray(giant(4000, 4000))), (1002, bytearray(b"no gif")), (1003, None), (1004, bytearray(whole))]
+    got = media.gif_frames(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert [(r.media_id, r.width, r.red) for r in got] == [(1004, 2, [3, 0, 0, 0, 0, 0, 0, 1])]
+
+
+def test_transparency_and_disposal_reach_the_frame_rows(spark):
+    data = build([(0, 0, 2, 2, [0, 0, 0, 0], 1, None, 5, False), (0, 0, 2, 1, [3, 1], 3, 3, 6, False), (1, 1, 1, 1, [2], 2, None, 7, False)])
+    got = media.gif_frames(spark.createDataFrame([(1, bytearray(data))], "media_id long, media binary")).orderBy("frame").collect()
+    shown = [(r.start_ms, r.red[7], r.green[7], r.blue[7]) for r in got]
+    assert shown == [(0, 4, 0, 0), (50, 3, 1, 0), (110, 3, 0, 1)]  # the second frame is taken back before the third
 
 
 # --- WARC ------------------------------------------------------------------------------------------
@@ -100,23 +116,44 @@ def test_archive_round_trip(spark):
     assert warc.archive_roundtrip(table.limit(0)).count() == 0
 
 
-def test_index_lookup_and_range_reads(spark):
+def test_index_lookup_and_range_reads(spark, monkeypatch):
     table, _ = pages(spark)
     many = spark.range(100, 160).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example.com/"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"), F.lit("x").alias("digest"))
+    same = spark.range(-30, 0).select(F.col("id").alias("page_id"), F.lit("http://hot.example.com/").alias("url"), F.lit("hot").alias("html"), F.lit("x").alias("digest"))
     s = Scratch(spark, "test-warc")
-    warc.write_archives(table.unionByName(many), s.path("a"), file_records=10)
-    blocks = warc.build_index(warc.read_archives(spark, s.path("a")), s.path("i"), lines=7, shards=3)
-    assert blocks.count() >= 9 and warc.index_entries(blocks).count() == 68
-    directory = warc.Directory(blocks)
-    entry = directory.lookup("com,example,h)/123")[0]
-    record = warc.read_range(spark, entry["file"], entry["offset"], entry["length"])
-    _, length, fields, block = next(warc.parse_records(record))
-    assert length == entry["length"] and fields["warc-target-uri"] == b"http://h.example.com/123" and block.endswith(b"page 123")
-    assert {e["page_id"] for e in directory.lookup("com,example,www)/a?b=1")} == {1, 7} and directory.lookup("com,example,h)/999") == []
+    folder = warc.write_archives(table.unionByName(many).unionByName(same), s.path("a"), file_bytes=2000)
+    captures = s.table(warc.read_archives(spark, folder), "captures")
+    files = captures.groupBy("file").agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).collect()
+    assert len(files) > 10 and all(r.bytes <= 2004 or r.n == 1 for r in files)
+    blocks = warc.build_index(captures, s.path("i"), lines=7, shards=3)
+    directory = warc.write_directory(blocks, s.path("d"), group=2)
+    assert blocks.count() >= 14 and directory.count() >= 7 and warc.index_entries(blocks).count() == captures.count() == 98
+    key = lambda url, page: warc.line_key(warc.url_key(F.lit(url)), F.lit(page).cast("long"))
+    wanted = [("http://h.example.com/123", 123), ("http://www.Example.com/a?b=1#x", 1), ("http://hot.example.com/", -7), ("http://h.example.com/123", 124), ("http://zz.example.com/", 1)]
+    asked = spark.range(1).select(F.explode(F.array(*[key(*w) for w in wanted])).alias("w"))
+    found = s.table(warc.lookup(blocks, directory, asked), "found")
+    assert sorted(r.page_id for r in found.collect()) == [-7, 1, 123]
+    expected = sorted(tuple(r) for r in captures.where("page_id in (-7, 1, 123)").collect())
+    for store in ("ranges", "whole files"):
+        if store == "whole files":
+            monkeypatch.setattr(warc, "_file_system", lambda uri: (_ for _ in ()).throw(OSError(uri)))
+        read = warc.read_ranges(found, folder)
+        assert sorted(tuple(r) for r in read.mapInArrow(warc._parsed, warc.CAPTURES).collect()) == expected
+        assert all(len(r.record) == r.length and r.record.startswith(b"WARC/1.1\r\n") for r in read.collect())
     with pytest.raises(ValueError):
         list(warc.parse_records(b"junk"))
 
 
+def test_lookups_give_the_same_rows_as_the_index(spark):
+    table, _ = pages(spark)
+    rows = table.unionByName(table.where("page_id in (2, 4)")).unionByName(spark.createDataFrame([(None, None, "nobody", "c"), (-40, "http://a.b/", "x" * 5000, "c")], table.schema))
+    columns = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    sorted_rows = lambda step: sorted((tuple(r) for r in warc.archive_roundtrip(rows, step=step, lines=2, file_bytes=3000).select(*columns, "looked_up").collect()), key=str)
+    every, some = sorted_rows(1), sorted_rows(20)
+    assert [r[:-1] for r in every] == [r[:-1] for r in some] and len(every) == 12
+    assert sum(r[-1] for r in every) == 11 and [r[0] for r in some if r[-1]] == [-40]
+
+
 def test_url_keys(spark):
     urls = ["http://www.Example.com/a?b=1#top", "https://u@m.example.com:80/", "http://a.b", None, "x"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
@@ -195,6 +232,33 @@ def test_every_template_is_found_by_its_words():
             assert (licence, 0) in got, (licence, got)
 
 
+def test_what_stands_beside_a_notice():
+    assert found("This is not licensed under the MIT License") == [] and found("it has not been released under the MIT License") == []
+    assert found("Why not? Licensed under the MIT License") == [] and found("not a toy. Licensed under the MIT License") == [("MIT", 0)]
+    assert found("SPDX-License-Identifier: BSD-3-Clause") == [("BSD-3-Clause", 0)] and found("SPDX-License-Identifier: None") == []
+    for licence, texts in licenses.TEMPLATES.items():  # the templates of other licences that share words do not claim them
+        for text in texts:
+            assert found(text) == [(licence, 0)]
+            words = text.split()
+            if len(licenses.wording(text.encode())) >= 40:
+                words[len(words) // 3] = "elsewhere"
+                assert [k for k, _ in found(" ".join(words))] == [licence]
+
+
+def test_scan_finds_what_a_search_for_every_wording_finds():
+    draw = random.Random(6)
+    known, _ = licenses.templates()
+    noise = ["copyright", "notice", "license", "terms", "software", "river", "stone", "the", "of", "under", "permission", "above"]
+    for _ in range(150):
+        words = []
+        for t in [draw.choice(known) for _ in range(draw.choice([1, 2, 5, 12]))]:
+            words += [draw.choice(noise).encode() for _ in range(draw.randrange(1, draw.choice([4, 90, 700])))] + t.words
+        line = b" " + b" ".join(words) + b" "
+        places = {(t.licence, s, e) for t in known for s, e, _ in t.exact(line)}
+        outer = {(k, s, 0) for k, s, e in places if not any((s2 <= s and e <= e2) and e2 - s2 > e - s for _, s2, e2 in places)}
+        assert {(k, s, d) for k, s, d, _ in licenses.scan(line)} == outer
+
+
 def test_wording_decides():
     assert found("Licensed under CC BY 4.0") == [("CC-BY-4.0", 0)] and found("Licensed under CC BY-NC 4.0") == [("CC-BY-NC-4.0", 0)]
     assert found("He is a licensed driver of the MIT campus") == [] and found(None) == [] and found("") == []
