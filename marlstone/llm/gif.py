@@ -1,20 +1,23 @@
 """GIF: an LZW codec, palettes, disposal and transparency, timed frames.
 
-``decode`` reads any GIF87a/89a stream into frames: code streams are expanded
+``frames`` reads any GIF87a/89a stream frame by frame: code streams are expanded
 through the LZW table, palettes applied, and frames laid on a canvas by the
 disposal and transparency rules.  ``encode_samples`` stores bytes as 8-bit
 samples: rows of ``width`` pixels under a grey palette, in frames of at most
-``rows`` rows.
+``rows`` rows, each of which is cleared before the next one shows.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 MAX_CODES = 4096
+#: Most pixels of a canvas or frame (four bytes each when composed); larger pictures are refused before anything is allocated.
+MAX_PIXELS = 1 << 24
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
@@ -172,7 +175,7 @@ def encode_samples(payload: bytes, width: int = 192, rows: int = 256) -> bytes:
         raise ValueError("the payload must be a positive multiple of the width")
     step = width * rows
     frames = [(payload[i : i + step], width, (min(step, len(payload) - i)) // width) for i in range(0, len(payload), step)]
-    return write_gif(frames, (width, min(rows, len(payload) // width)))
+    return write_gif(frames, (width, min(rows, len(payload) // width)), disposal=2)
 
 
 def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -183,25 +186,49 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
+    """A full table of 256 colours, or None if the flags name none; and where it ends."""
+    if not flags & 0x80:
+        return None, at
+    n = 3 << ((flags & 7) + 1)
+    full = np.zeros((256, 3), np.uint8)
+    full[: n // 3] = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
+    return full, at + n
+
+
 def _row_order(height: int) -> np.ndarray:
     """Stored order of the rows of an interlaced image."""
     return np.concatenate([np.arange(s, height, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
+def _checked(width: int, height: int) -> int:
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"{width} x {height} pixels are more than {MAX_PIXELS}")
+    return width * height
+
+
+def frames(data: bytes, *, canvas: bool = False) -> Iterator[Frame]:
+    """The frames of a GIF one by one; ValueError where the stream is none, broken or cut, or its pictures too large."""
+    try:
+        yield from _frames(data, canvas)
+    except (IndexError, struct.error) as error:
+        raise ValueError("a GIF that ends early") from error
+
+
 def decode(data: bytes, *, canvas: bool = False) -> list[Frame]:
-    """All frames of a GIF; ValueError for a stream that is none."""
+    """All frames of a GIF at once (for small ones)."""
+    return list(frames(data, canvas=canvas))
+
+
+def _frames(data: bytes, canvas: bool) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, shared = 13, None
-    if flags & 0x80:
-        n = 3 << ((flags & 7) + 1)
-        shared = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-        at += n
+    shared, at = _palette(data, 13, flags)
+    _checked(width, height)
     surface = np.zeros((height, width, 4), np.uint8) if canvas else None
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
             label = data[at + 1]
@@ -214,27 +241,23 @@ def decode(data: bytes, *, canvas: bool = False) -> list[Frame]:
         if kind != 0x2C:
             raise ValueError("broken GIF")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
-        at += 10
-        palette = shared
-        if local & 0x80:
-            n = 3 << ((local & 7) + 1)
-            palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-            at += n
+        own, at = _palette(data, at + 10, local)
+        palette = shared if own is None else own
+        if palette is None:
+            raise ValueError("a GIF frame without palette")
         bits = data[at]
+        if not 1 <= bits <= 8:
+            raise ValueError("a GIF frame of no known depth")
         stream, at = _read_blocks(data, at + 1)
-        flat = lzw_decode(stream, bits, w * h)
-        indices = np.zeros(w * h, np.uint8)
-        indices[: len(flat)] = np.frombuffer(flat, np.uint8)
-        indices = indices.reshape(h, w)
+        flat = lzw_decode(stream, bits, _checked(w, h))
+        if len(flat) < w * h:
+            raise ValueError("a GIF frame with pixels missing")
+        indices = np.frombuffer(flat, np.uint8).reshape(h, w)
         if local & 0x40:
             straight = np.empty_like(indices)
             straight[_row_order(h)] = indices
             indices = straight
-        if palette is None:
-            raise ValueError("a GIF frame without palette")
-        full = np.zeros((256, 3), np.uint8)
-        full[: len(palette)] = palette
-        frame = Frame(left, top, w, h, delay, disposal, transparent, indices, full[indices])
+        frame = Frame(left, top, w, h, delay, disposal, transparent, indices, palette[indices])
         if surface is not None:
             before = surface.copy() if disposal == 3 else None
             area = surface[top : top + h, left : left + w]
@@ -247,6 +270,5 @@ def decode(data: bytes, *, canvas: bool = False) -> list[Frame]:
                 area[:] = 0
             elif before is not None:
                 surface = before
-        frames.append(frame)
+        yield frame
         delay, disposal, transparent = 0, 0, None
-    return frames

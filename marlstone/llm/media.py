@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlstone.llm.gif import decode, encode_samples
+from marlstone.llm.gif import Frame, encode_samples, frames
 from marlstone.llm.words import utf8_rows
 
 WIDTH = 192
@@ -18,10 +18,15 @@ HISTOGRAM_BINS = 8
 #: Bytes of text and media that one output batch may hold.
 BATCH_BYTES = 16_000_000
 
+FRAME = "struct<start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,red:array<long>,green:array<long>,blue:array<long>>"
 MEDIA_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, media binary"
+    f"media_sha256 string, feature string, frames array<{FRAME}>, media binary"
 )
+_FRAME_FIELDS = [
+    ("start_ms", pa.int64()), *((x, pa.int32()) for x in ("delay_ms", "left", "top", "width", "height", "disposal", "transparent")),
+    *((x, pa.list_(pa.int64())) for x in ("red", "green", "blue")),
+]
 
 
 def padded(text: bytes | None, unit: int = WIDTH) -> bytes:
@@ -35,28 +40,38 @@ def colour_histogram(pixels: np.ndarray, bins: int = HISTOGRAM_BINS) -> np.ndarr
     return np.stack([np.bincount(pixels[..., c].ravel() // (256 // bins), minlength=bins) for c in range(3)])
 
 
+def frame_row(frame: Frame, start: int) -> dict:
+    """Timing, place, rules and histograms of what shows on the canvas; clear pixels do not count."""
+    red, green, blue = colour_histogram(frame.canvas[frame.canvas[..., 3] > 0][:, :3]).tolist()
+    return {
+        "start_ms": start, "delay_ms": frame.delay_ms, "left": frame.left, "top": frame.top, "width": frame.width, "height": frame.height,
+        "disposal": frame.disposal, "transparent": frame.transparent, "red": red, "green": green, "blue": blue,
+    }
+
+
 def media_row(text: bytes | None, keep: bool) -> tuple:
-    """Encode, read back, and compute the row of one text from the stored bytes."""
+    """Encode, play back, and compute the row of one text from what each frame shows on the canvas."""
     raw = text or b""
     media = encode_samples(padded(text), WIDTH)
-    digest, size, crc_tail, red = hashlib.sha256(), 0, b"", np.zeros(HISTOGRAM_BINS, np.int64)
-    frames = decode(media)
-    for frame in frames:
-        samples = frame.pixels[..., 0].tobytes()
+    digest, size, crc_tail, rows, clock = hashlib.sha256(), 0, b"", [], 0
+    for frame in frames(media, canvas=True):
+        # Frames are cleared before the next one, so that a canvas shows the rows of one frame alone.
+        samples = frame.canvas[frame.canvas[..., 3] > 0][:, 0].tobytes()
         digest.update(samples)
         size += len(samples)
         crc_tail = (crc_tail + samples)[-16:]
-        red += np.bincount(np.frombuffer(samples, np.uint8) // (256 // HISTOGRAM_BINS), minlength=HISTOGRAM_BINS)
-    seconds = sum(f.delay_ms for f in frames)
-    feature = f"gif:{len(frames)}:{seconds}:" + ",".join(map(str, red.tolist()))
+        rows.append(frame_row(frame, clock))
+        clock += frame.delay_ms
+    red = np.sum([r["red"] for r in rows], axis=0)
+    feature = f"gif:{len(rows)}:{clock}:" + ",".join(map(str, red.tolist()))
     return (
-        len(raw), size, digest.hexdigest(), zlib.crc32(crc_tail), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep else None,
-    )
+        len(raw), size, digest.hexdigest(), zlib.crc32(crc_tail), len(media), hashlib.sha256(media).hexdigest(), feature, rows, media if keep else None,
+    )
 
 
 def _stored(keep: bool):
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "media"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct(_FRAME_FIELDS)), pa.binary()]
 
     def flush(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -81,8 +96,10 @@ def store_media(documents: DataFrame, *, keep_media: bool = True) -> DataFrame:
 
     The payload is the UTF-8 text and spaces up to a positive multiple of 192
     bytes, one 8-bit grey sample a byte.  ``feature`` is
-    ``gif:<frames>:<milliseconds>:<histogram>`` of the decoded samples in eight
-    bins.  Null and empty texts are one row of spaces.  Equal texts give equal
+    ``gif:<frames>:<milliseconds>:<histogram>`` of the samples in eight bins, and
+    ``frames`` has timing, place and histograms of every frame; all are taken
+    from the canvas that playing the stored bytes shows.  Null and empty texts
+    are one row of spaces.  Equal texts give equal
     values; ids may repeat or be null; other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -96,31 +113,31 @@ FRAME_SCHEMA = (
 )
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _played(key: int | None, data: bytes | None) -> list[tuple]:
+    """Rows of one GIF; none if any part of it cannot be decoded."""
+    rows, clock = [], 0
+    try:
+        for k, frame in enumerate(frames(data, canvas=True) if data else ()):
+            rows.append((key, k, *frame_row(frame, clock).values(), hashlib.sha256(frame.canvas.tobytes()).hexdigest()))
+            clock += frame.delay_ms
+    except ValueError:
+        return []
+    return rows
+
+
+def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int32(), *(kind for _, kind in _FRAME_FIELDS), pa.string()]
+    names = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
     for batch in batches:
-        rows = []
         for key, data in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
-            try:
-                frames = decode(data, canvas=True) if data else []
-            except (ValueError, IndexError):
-                frames = []
-            start = 0
-            for k, f in enumerate(frames):
-                red, green, blue = colour_histogram(f.canvas[f.canvas[..., 3] > 0][:, :3]).tolist()
-                rows.append(
-                    (key, k, start, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, red, green, blue,
-                     hashlib.sha256(f.canvas.tobytes()).hexdigest())
-                )
-                start += f.delay_ms
-        cols = list(zip(*rows)) if rows else [[]] * 14
-        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 7, *[pa.list_(pa.int64())] * 3, pa.string()]
-        names = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            if rows := _played(key, data):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def gif_frames(media: DataFrame, *, id_col: str = "media_id", data_col: str = "media") -> DataFrame:
     """One row per frame of each GIF: timing, place, disposal and histograms of what shows.
 
-    Null, empty or undecodable bytes give no row.
+    Null, empty, broken or cut bytes, and pictures of more than
+    ``gif.MAX_PIXELS``, give no row.
     """
-    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(data_col).alias("media")).mapInArrow(_frames, FRAME_SCHEMA)
+    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(data_col).alias("media")).mapInArrow(_frame_rows, FRAME_SCHEMA)
