@@ -6,10 +6,12 @@ the others by weight (computed in closed form by sorting sources by cap over
 weight).  A document is then taken floor(rate) times plus one hash-seeded
 Bernoulli copy with probability equal to the fraction.
 
-One digest of the document's id gives several independent draws.  Each source
-uses the draw whose expected total lies nearest its target, found in the same
-kind of aggregation; that keeps a source of few, long documents near its target
-and depends on nothing but ids, sizes and the seed.
+Digests of the document's id give ``DRAWS`` draws of 32 bits that share none of
+them.  Each source uses the draw whose total lies nearest its target, found in
+the same kind of aggregation; that keeps a source of few, long documents near
+its target and depends on nothing but ids, sizes and the seed.  A copy's
+probability is the fraction in every single draw; after the choice it is so only
+nearly, as totals far from the target are passed over.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ SPACED = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2
-#: Draws of 32 bits, at every second hex digit of one SHA-256.
-DRAWS = 29
+#: Draws of 32 bits, eight to a SHA-256.
+DRAWS = 32
 SEED = "mix"
 #: Per-source figures are broadcast for up to so many sources (under 100 bytes each).
 BROADCAST_SOURCES = 100_000
@@ -62,42 +64,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     )
 
 
-def draw(digest: str | Column, k: int) -> Column:
-    """The k-th uniform draw in [0, 1) from a hex digest."""
-    return F.conv(F.substring(digest, 2 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def digest(doc_id: Column, seed: str, number: int | Column) -> Column:
+    """Hex digest that holds draws ``8 * number`` to ``8 * number + 7`` of a document."""
+    number = F.lit(number) if isinstance(number, int) else number
+    return F.sha2(F.concat(F.lit(f"{seed}:"), number.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
 
 
-def _drawn(df: DataFrame, seed: str, weights: tuple[int, ...], budget: float, cap: int) -> DataFrame:
-    """``df`` (doc_id, text, source and others) with size, source_size, target and copies."""
-    sized = df.withColumns(
-        {
-            "size": word_count("text"),
-            "digest": F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256),
-        }
-    )
-    plain = sized.select("source", "size", "digest")
-    sizes = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, cap)
+def draw(of: Column, k: int | Column) -> Column:
+    """The k-th uniform draw in [0, 1) of a digest."""
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.conv(F.substring(of, k * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _rates(sized: DataFrame, scratch: Scratch, seed: str, weights: tuple[int, ...], budget: float, cap: int) -> DataFrame:
+    """(of, source_size, target, rate, k) of each source, from (doc_id, source, size) rows."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    scratch = Scratch(df.sparkSession, "mix")
-    small = scratch.table(targets.withColumn("rate", rate).withColumnsRenamed({"source": "of"}), "targets")
-    near = F.broadcast if small.count() <= BROADCAST_SOURCES else (lambda side: side)
+    small = scratch.table(source_targets(sizes, weights, budget, cap).withColumn("rate", rate).withColumnsRenamed({"source": "of"}), "targets")
     # Which draw comes nearest: sums per source, combined map-side.
-    joined = plain.join(near(small), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    extra = [F.sum(F.when(draw("digest", k) < part, F.col("size")).otherwise(0)).alias(f"e{k}") for k in range(DRAWS)]
-    figures = [F.first(c).alias(c) for c in ("source_size", "target", "rate")]
+    joined = sized.where("size > 0").join(_near(small), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    joined = joined.withColumns({f"d{j}": digest(F.col("doc_id"), seed, j) for j in range(DRAWS // 8)})
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    extra = [F.sum(F.when(draw(F.col(f"d{k // 8}"), k % 8) < part, F.col("size")).otherwise(0)).alias(f"e{k}") for k in range(DRAWS)]
     miss = [F.struct(F.abs(F.col("source_size") * whole + F.col(f"e{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(DRAWS)]
-    chosen = joined.groupBy("source").agg(*figures, *extra)
-    chosen = chosen.select(F.col("source").alias("of"), "source_size", "target", "rate", F.array_min(F.array(*miss))["k"].alias("k"))
-    chosen = scratch.table(chosen, "chosen")
-    value = F.conv(F.substring(F.col("digest"), F.col("k") * 2 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    copies = (whole + F.when(value < part, 1).otherwise(0)).cast("long")
-    return (
-        sized.join(near(chosen), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("copies", copies)
-        .drop("of", "k", "rate", "digest")
-    )
+    figures = [F.first(c).alias(c) for c in ("source_size", "target", "rate")]
+    best = joined.groupBy("source").agg(*figures, *extra).select("source", F.array_min(F.array(*miss))["k"].alias("k"))
+    chosen = small.join(best, F.col("of").eqNullSafe(F.col("source")), "left").select("of", "source_size", "target", "rate", F.coalesce("k", F.lit(0)).alias("k"))
+    return scratch.table(chosen, "chosen")
+
+
+def _near(side: DataFrame) -> DataFrame:
+    """A written table of one row a source, broadcast if it is small."""
+    return F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
+
+
+def _copies(rows: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source and others) with source_size, target and copies."""
+    value = draw(digest(F.col("doc_id"), seed, F.floor(F.col("k") / 8)), F.pmod(F.col("k"), F.lit(8)))
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    joined = rows.join(_near(rates), F.col("source").eqNullSafe(F.col("of")))
+    return joined.withColumn("copies", (whole + F.when(value < part, 1).otherwise(0)).cast("long")).drop("of", "k", "rate")
+
+
+def _sized(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, size), written: texts are counted once."""
+    return scratch.table(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size")), "sized")
 
 
 def mix(
@@ -117,7 +128,9 @@ def mix(
     the text ''.  A source of size 0 has target 0.  Other columns are ignored;
     an empty table gives an empty result.
     """
-    drawn = _drawn(documents.select("doc_id", "text", "source"), seed, weights, budget, cap)
+    scratch = Scratch(documents.sparkSession, "mix")
+    sized = _sized(documents, scratch)
+    drawn = _copies(sized, _rates(sized, scratch, seed, weights, budget, cap), seed)
     return drawn.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -131,6 +144,8 @@ def mixed_documents(
     copy_col: str = "copy",
 ) -> DataFrame:
     """The rows of ``documents`` as often as ``mix`` takes them, numbered from 1 in ``copy_col``."""
-    drawn = _drawn(packed(documents).withColumn("source", F.col("rest.source")), seed, weights, budget, cap)
+    scratch = Scratch(documents.sparkSession, "mix")
+    rates = _rates(_sized(documents, scratch), scratch, seed, weights, budget, cap)
+    drawn = _copies(packed(documents).withColumn("source", F.col("rest.source")), rates, seed)
     rows = drawn.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*original_columns(documents), F.col("nth").alias(copy_col))

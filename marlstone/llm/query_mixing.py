@@ -17,8 +17,7 @@ QUERIES = {"op7_source_mixing": op7_source_mixing}
 ORACLE_SQL = {
     "op7_source_mixing": f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size,
-         sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size
   FROM documents),
 ranked AS (
   SELECT source, source_size, rk, w, 2 * source_size AS full_size, (2 * source_size)::DOUBLE / w AS ratio,
@@ -38,9 +37,10 @@ targets AS (
 rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
 draws AS (
-  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, r.rate, k,
-         ('0x' || substr(digest, 2 * k + 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range({DRAWS}) t(k)),
+  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, r.rate, 8 * j + i AS k,
+         ('0x' || substr(digest, 8 * i + 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u
+  FROM (SELECT *, sha256('{SEED}:' || j::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS digest FROM sized, range({DRAWS} // 8) t(j)) s
+  JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(8) v(i)),
 best AS (
   SELECT source, k FROM (
     SELECT source, k, abs(any_value(source_size) * floor(any_value(rate)) + sum(CASE WHEN u < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
