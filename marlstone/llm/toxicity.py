@@ -5,8 +5,9 @@ from the training rows), how near they stand to a second person, capitals,
 punctuation and obfuscation (digits or symbols inside words, words spelled out
 letter by letter).  Words are compared after undoing such disguises.
 
-The word list and trees are fitted on at most ``FIT_ROWS`` labelled rows; out-
-of-fold margins of four folds calibrate the scores.
+The word list and trees are fitted on at most ``FIT_ROWS`` labelled rows.  Scores
+are calibrated on the margins of four folds, each of whose word list and trees
+come from the other three.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm.boosting import Boosted, fit_boosted, isotonic
 from marlstone.llm.labelled import FIT_ROWS, fit_sample, held_out
-from marlstone.llm.words import utf8_rows
+from marlstone.llm.words import list_of, utf8_rows
+from marlstone.plans.scratch import Scratch
 
 # Common insults, and words for the person addressed.
 INSULTS = frozenset(
@@ -127,56 +129,79 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int32())], ["word", "label"])
 
 
-def learned_words(sample: DataFrame, limit: int = LEARNED_WORDS) -> dict[bytes, float]:
-    """Words whose odds to stand in toxic training documents are high, with their log odds."""
-    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic or not clean:
-        return {}
-    seen = (
-        sample.mapInArrow(_distinct_words, "word binary, label int")
-        .groupBy("word")
-        .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-        .where("t >= 3")
-    )
-    odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-    rows = seen.withColumn("odds", odds).where("odds > 1.6").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(limit).collect()
-    return {bytes(r.word): float(r.odds) for r in rows}
+def learned_words(sample: DataFrame, limit: int = LEARNED_WORDS) -> list[dict[bytes, float]]:
+    """Words whose odds to stand in toxic documents are high, with their log odds: of each fold's other rows, and of all.
 
+    ``sample`` is (doc_id, text, label, fold).  Item ``f`` leaves fold ``f`` out,
+    the last one leaves out none.
+    """
+    sizes = {(r.fold, r.label): r["count"] for r in sample.groupBy("fold", "label").count().collect()}  # eight rows
+    words = sample.select("doc_id", "text", (F.col("label") + 2 * F.col("fold")).alias("label")).mapInArrow(_distinct_words, "word binary, label int")
+    counts = [F.count_if(F.col("label") == k).alias(f"n{k}") for k in range(2 * FOLDS)]
+    seen = words.groupBy("word").agg(*counts)
+    seen = Scratch(sample.sparkSession, "toxic-words").table(seen.where(" + ".join(f"n{2 * f + 1}" for f in range(FOLDS)) + " >= 3"), "seen")
+    lists = []
+    for left_out in [*range(FOLDS), None]:
+        used = [f for f in range(FOLDS) if f != left_out]
+        clean, toxic = (sum(sizes.get((f, label), 0) for f in used) for label in (0, 1))
+        if not toxic or not clean:
+            lists.append({})
+            continue
+        c, t = (sum((F.col(f"n{2 * f + label}") for f in used), F.lit(0)) for label in (0, 1))
+        odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
+        rows = seen.select("word", t.alias("t"), c.alias("c")).where("t >= 3").withColumn("odds", odds).where("odds > 1.6")
+        rows = rows.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(limit).collect()
+        lists.append({bytes(r.word): float(r.odds) for r in rows})
+    return lists
+
+
+def _featured(lists: list[dict[bytes, float]]):
+    """Rows with their features under all words and under those learned without their fold."""
 
-def _featured(learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [features(t, learned) for t in utf8_rows(batch.column(1))]
-            flat = pa.array(np.concatenate(values) if values else np.empty(0), pa.float64())
-            offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), batch.column(2)], ["doc_id", "x", "label"])
+            cols: list[list] = [[], [], []]
+            for text, fold in zip(utf8_rows(batch.column(1)), batch.column(3).to_pylist()):
+                made = [features(text, words) for words in lists]
+                cols[0].append(made[-1])
+                cols[1].append(made[fold])
+                cols[2].append(np.concatenate(made[:-1]))
+            vectors = [list_of(c, pa.float64()) for c in cols]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *vectors, batch.column(2), batch.column(3)], ["doc_id", "x", "own", "others", "label", "fold"])
 
     return run
 
 
-def fit_toxic(x: np.ndarray, y: np.ndarray, learned: dict[bytes, float]) -> ToxicModel:
-    """Trees on all rows; calibration on margins of folds that did not see the row."""
+def fit_toxic(x: np.ndarray, own: np.ndarray, others: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict[bytes, float]) -> ToxicModel:
+    """Trees on all rows; calibration on margins of folds whose words and trees did not see the row.
+
+    ``x`` has the rows' features under all learned words, ``own`` those under the
+    words learned without the row's fold, and ``others[:, f]`` those under the
+    words learned without fold ``f``.
+    """
     trees = fit_boosted(x, y)
     if len(y) < 40 or y.min() == y.max():
         return ToxicModel(learned, trees, np.empty(0), np.empty(0))
     margins = np.empty(len(y))
-    fold = np.arange(len(y)) % FOLDS
     for f in range(FOLDS):
-        margins[fold == f] = fit_boosted(x[fold != f], y[fold != f]).margins(x[fold == f])
+        mine = fold == f
+        margins[mine] = fit_boosted(others[~mine, f], y[~mine]).margins(own[mine])
     knots, values = isotonic(margins, y)
     return ToxicModel(learned, trees, knots, values)
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> ToxicModel:
     """Fit on at most ``rows`` labelled documents that are not held out."""
-    sample = fit_sample(documents, labels, label, rows)
-    learned = learned_words(sample)
-    rows_ = sample.mapInArrow(_featured(learned), "doc_id long, x array<double>, label int").collect()  # at most ``rows``
-    # Rows are ordered by a hash, so that folds mix all kinds of documents.
-    found = sorted({((r.doc_id * 0x9E3779B1) % 2**32, r.doc_id, tuple(r.x), r.label) for r in rows_})
-    x = np.array([r[2] for r in found]).reshape(-1, N_FEATURES)
-    return fit_toxic(x, np.array([r[3] for r in found], np.float64), learned)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = fit_sample(documents, labels, label, rows).select("doc_id", "text", "label", fold)
+    lists = learned_words(sample)
+    kind = "doc_id long, x array<double>, own array<double>, others array<double>, label int, fold int"
+    found = sample.mapInArrow(_featured(lists), kind).toArrow()  # at most ``rows`` rows of 6 * N_FEATURES numbers
+    ids = found["doc_id"].to_numpy()
+    x, own, others = (found[c].combine_chunks().flatten().to_numpy().reshape(len(ids), n, N_FEATURES) for c, n in (("x", 1), ("own", 1), ("others", FOLDS)))
+    y, fold = found["label"].to_numpy().astype(float), found["fold"].to_numpy()
+    order = np.lexsort((*x[:, 0].T, ids))  # repeated ids too in a fixed order
+    return fit_toxic(x[order, 0], own[order, 0], others[order], y[order], fold[order], lists[-1])
 
 
 def _scored(model):

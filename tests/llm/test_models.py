@@ -72,6 +72,16 @@ def test_accepted_documents_keep_their_columns(spark):
     assert kept.columns == docs.columns and dict(kept.dtypes) == dict(docs.dtypes) and 0 < kept.count() < docs.count()
 
 
+def test_words_of_a_fold_come_from_the_other_folds(spark):
+    fold_words = {0: "alphox", 1: "betox"}
+    data = [(i, f"{fold_words.get(i % 4, 'plain')} everywhere text {'gammox' if toxic else ''}", int(toxic), i % 4) for i in range(160) for toxic in [i % 8 < 4]]
+    data = [(i, t if y else t.replace("alphox", "clean").replace("betox", "clean"), y, f) for i, t, y, f in data]
+    lists = toxicity.learned_words(spark.createDataFrame(data, "doc_id long, text string, label int, fold int"))
+    assert len(lists) == toxicity.FOLDS + 1 and all(b"gammox" in words for words in lists)
+    assert [b"alphox" in words for words in lists] == [False, True, True, True, True]
+    assert [b"betox" in words for words in lists] == [True, False, True, True, True]
+
+
 def test_isotonic_is_the_least_squares_fit():
     draw = np.random.default_rng(0)
     x, y = draw.random(200).round(2), (draw.random(200) < 0.4).astype(float)
