@@ -11,6 +11,27 @@ from pyspark.sql.functions import pandas_udf
 from marlstone.functions.text import Text, as_column
 
 
+def _ratios(least: float = 0.0):
+    """Gestalt ratios as a pandas function; pairs that cannot reach ``least`` give null without being aligned."""
+
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        seen: dict[tuple[str, str], float | None] = {}
+        out: list[float | None] = []
+        for a, b in zip(left, right):
+            key = (a, b)
+            if key not in seen:
+                seen[key] = None
+                if a and b:
+                    matcher = SequenceMatcher(None, a, b)
+                    # Shared characters in any order bound the ratio from above.
+                    if not least or matcher.quick_ratio() >= least - 1e-6:
+                        seen[key] = round(matcher.ratio(), 6)
+            out.append(seen[key])
+        return pd.Series(out, dtype="float64").astype(object).where(lambda s: s.notna(), None)
+
+    return ratio
+
+
 @pandas_udf(T.DoubleType())
 def gestalt_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio to six digits, null if a side is null or empty.
@@ -18,23 +39,31 @@ def gestalt_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     No Catalyst expression computes it; use it after blocking, on distinct pairs
     (``with_gestalt_ratio``).  The ratio depends on the order of its arguments.
     """
-    seen: dict[tuple[str, str], float] = {}
-    out: list[float | None] = []
-    for a, b in zip(left, right):
-        if not a or not b:
-            out.append(None)
-            continue
-        key = (a, b)
-        if key not in seen:
-            seen[key] = round(SequenceMatcher(None, a, b).ratio(), 6)
-        out.append(seen[key])
-    return pd.Series(out, dtype="float64").astype(object).where(lambda s: s.notna(), None)
-
-
-def with_gestalt_ratio(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """``df`` with the gestalt ratio of two columns, computed once for each distinct pair."""
-    pairs = df.select(F.col(left).alias("__l"), F.col(right).alias("__r")).where("__l is not null and __r is not null").distinct()
-    scored = pairs.select("__l", "__r", gestalt_ratio("__l", "__r").alias(name))
+    return _ratios()(left, right)
+
+
+#: Lengths of two texts of a ratio of at least 0.75 differ by a factor of 5 / 3 at most: they lie in equal or neighbouring bands.
+BAND_BASE = 1.667
+
+
+def length_band(text: Text) -> Column:
+    """Number of the band of a text's length; null for null and empty texts."""
+    n = F.length(as_column(text))
+    return F.when(n > 0, F.floor(F.log(BAND_BASE, n.cast("double"))).cast("int"))
+
+
+def with_gestalt_ratio(df: DataFrame, left: str, right: str, name: str, *, least: float = 0.0) -> DataFrame:
+    """``df`` with the gestalt ratio of two columns, computed once for each distinct pair.
+
+    Ratios below ``least`` may be null: twice the shorter length over the sum of
+    the lengths bounds the ratio, which is looked at before Python.
+    """
+    pairs = df.select(F.col(left).alias("__l"), F.col(right).alias("__r")).where("__l is not null and __r is not null")
+    if least:
+        a, b = F.length("__l"), F.length("__r")
+        pairs = pairs.where(2 * F.least(a, b) >= (a + b) * (least - 1e-6))
+    udf = pandas_udf(_ratios(least), T.DoubleType()) if least else gestalt_ratio
+    scored = pairs.distinct().select("__l", "__r", udf("__l", "__r").alias(name))
     return df.join(scored, (F.col(left) == F.col("__l")) & (F.col(right) == F.col("__r")), "left").drop("__l", "__r")
 
 
@@ -112,12 +141,11 @@ def _grams(words: Column, low: int, high: int, glue: str) -> Column:
     return F.concat(*parts)
 
 
-def tfidf_pair_cosine(pairs: DataFrame, left: str, right: str, grams, *, key: str = "pair_id") -> DataFrame:
-    """(key, cosine) of L2-normalised TF-IDF vectors of two text columns.
+def tfidf_weights(pairs: DataFrame, left: str, right: str, grams, *, key: str = "pair_id") -> DataFrame:
+    """(key, side, term, w) TF-IDF weights, not normalised, of two text columns.
 
     The corpus is all left and right texts together; idf is
-    ``ln((1 + n) / (1 + df)) + 1``.  Null texts are empty; a side without terms
-    gives 0.
+    ``ln((1 + n) / (1 + df)) + 1``.  Null texts are empty.
     """
     sides = pairs.select(key, F.lit("l").alias("side"), F.coalesce(left, F.lit("")).alias("t")).unionByName(
         pairs.select(key, F.lit("r").alias("side"), F.coalesce(right, F.lit("")).alias("t"))
@@ -126,7 +154,12 @@ def tfidf_pair_cosine(pairs: DataFrame, left: str, right: str, grams, *, key: st
     n = sides.agg(F.count("*").alias("n"))
     idf = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n is one row
     idf = idf.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = terms.join(idf, "term").select(key, "side", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return terms.join(idf, "term").select(key, "side", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def tfidf_pair_cosine(pairs: DataFrame, left: str, right: str, grams, *, key: str = "pair_id") -> DataFrame:
+    """(key, cosine) of L2-normalised TF-IDF vectors of two text columns; a side without terms gives 0."""
+    weighted = tfidf_weights(pairs, left, right, grams, key=key)
     per = weighted.groupBy(key, "term").agg(
         F.sum(F.when(F.col("side") == "l", F.col("w"))).alias("a"), F.sum(F.when(F.col("side") == "r", F.col("w"))).alias("b")
     )

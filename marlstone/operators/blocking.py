@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marlstone.functions.similarity import with_gestalt_ratio
+from marlstone.functions.similarity import length_band, with_gestalt_ratio
 from marlstone.operators.rank import first_per_key
 
 PAIR = ["source_a", "source_id_a", "source_b", "source_id_b"]
@@ -46,9 +46,10 @@ def candidate_pairs(records: DataFrame, source_a: str = "rawg", source_b: str =
     """Pairs of the two sources by identifier, equal name, year and first word, or shared alias.
 
     Every rule is an equi-join; a pair keeps the first rule that finds it.  Year
-    and first word need a gestalt ratio of the names of at least 0.75, computed
-    on distinct name pairs after the join.  ``limit`` keeps the first pairs by
-    rule and key.
+    and first word need a gestalt ratio of the names of at least 0.75; names whose
+    lengths rule that out do not meet (bands of lengths are part of the key), and
+    the ratio is computed on distinct name pairs.  ``limit`` keeps the first pairs
+    by rule and key.
     """
     a = records.where(F.col("source") == source_a)
     b = records.where(F.col("source") == source_b)
@@ -62,10 +63,13 @@ def candidate_pairs(records: DataFrame, source_a: str = "rawg", source_b: str =
         same = side(a.where(named), "a", "name_normalized").join(side(b.where(named), "b", "name_normalized"), "name_normalized")
         found.append(same.select("source_id_a", "source_id_b", F.lit(1).alias("rule"), none.alias("label_source"), none.alias("label_value"), F.lit(0.8).alias("confidence")))
     if rule in ("all", RULES[2]):
-        near = side(a, "a", "release_year", "first_token", F.col("name_normalized").alias("name_a")).join(
-            side(b, "b", "release_year", "first_token", F.col("name_normalized").alias("name_b")), ["release_year", "first_token"]
-        )
-        near = with_gestalt_ratio(near, "name_a", "name_b", "confidence").where(F.col("confidence") >= MIN_RATIO)
+        band = length_band("name_normalized")
+        left = side(a, "a", "release_year", "first_token", F.col("name_normalized").alias("name_a"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+        right = side(b, "b", "release_year", "first_token", F.col("name_normalized").alias("name_b"), band.alias("band"))
+        near = left.join(right, ["release_year", "first_token", "band"])
+        long, short = F.greatest(F.length("name_a"), F.length("name_b")), F.least(F.length("name_a"), F.length("name_b"))
+        near = near.where(2 * short >= (MIN_RATIO - 1e-6) * (long + short))
+        near = with_gestalt_ratio(near, "name_a", "name_b", "confidence", least=MIN_RATIO).where(F.col("confidence") >= MIN_RATIO)
         found.append(near.select("source_id_a", "source_id_b", F.lit(2).alias("rule"), none.alias("label_source"), none.alias("label_value"), "confidence"))
     if rule in ("all", RULES[3]):
         word = lambda df, s: side(df, s, F.explode("comparison_names").alias("alias")).where(F.regexp_like("alias", F.lit("(?i)[a-z0-9]")))

@@ -2,16 +2,23 @@
 
 Every round is two aggregations and two joins over the edge table; nothing is
 collected but an edge count and checksum.  Hub vertices are harmless: the
-aggregations combine map-side and the joins are skew-splittable.
+aggregations combine map-side and the joins are skew-splittable.  Callers may
+let a table of few edges be joined up in one task instead, which gives the same
+components without the rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from marlstone.plans.scratch import Scratch
 
 MAX_ROUNDS = 60
+#: Edges of two short keys that one task may hold (about 100 MB in Python).
+FEW_EDGES = 200_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -40,13 +47,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hang.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task -> (node, component), the component being its smallest node."""
+    up: dict = {}
+
+    def key(value):
+        return tuple(map(key, value.values())) if isinstance(value, dict) else value
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    original, kind = {}, None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            original[a := key(u)], original[b := key(v)] = u, v
+            a, b = sorted((root(up.setdefault(a, a)), root(up.setdefault(b, b))))
+            up[b] = a
+    nodes = list(up)
+    if nodes:
+        columns = [[original[n] for n in nodes], [original[root(n)] for n in nodes]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc", *, few: int = 0) -> DataFrame:
     """(u, v) edges of any orderable key type -> (node, component).
 
     ``component`` is the smallest node reachable.  Self loops and repeated
     edges are harmless; edges with a null end are ignored; nodes without edges
     are not in the result (callers give them their own id).  An empty edge
-    table gives an empty result.
+    table gives an empty result.  Up to ``few`` edges are joined up in one task.
     """
     u, v = edges.columns[:2]
     edges = (
@@ -55,6 +88,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         .distinct()
     )
     current, seen = scratch.table(edges, f"{label}-0"), None
+    if few and current.count() <= few:
+        kind = T.StructType([T.StructField(c, current.schema["u"].dataType) for c in ("node", "component")])
+        return current.coalesce(1).mapInArrow(_joined_up, kind)
     for k in range(1, MAX_ROUNDS + 1):
         # Written first, so that the join below has two plain shuffles and a hub's rows can be split.
         low = scratch.table(_lowest(current), f"{label}-low-{k}")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marlstone.functions.scoring import decision
 from marlstone.functions.similarity import padded_char_ngrams, tfidf_pair_cosine, word_ngrams
+from marlstone.operators.decompose import title_svd_cosine
 from marlstone.operators.features import FEATURES
 from marlstone.operators.metrics import binary_metrics
 from marlstone.plans.scratch import Scratch
@@ -31,8 +32,9 @@ FEATURE_SETS = {
     "name_similarity_only": ("name_similarity",),
     "char_tfidf_only": ("char_tfidf_cosine",),
     "word_tfidf_only": ("word_tfidf_cosine",),
-    "vector_stack": ("char_tfidf_cosine", "word_tfidf_cosine"),
-    "combined_name_vector_year": ("name_similarity", "char_tfidf_cosine", "word_tfidf_cosine", "release_year_abs_diff", "same_release_year"),
+    "svd_title_only": ("title_svd_cosine",),
+    "vector_stack": ("char_tfidf_cosine", "word_tfidf_cosine", "title_svd_cosine"),
+    "combined_name_vector_year": ("name_similarity", "char_tfidf_cosine", "word_tfidf_cosine", "title_svd_cosine", "release_year_abs_diff", "same_release_year"),
 }
 TEST_SHARE, SEED = 0.4, 42
 
@@ -167,10 +169,18 @@ def grouped_holdout(frame: DataFrame, weights: dict[str, float] = RESEARCH_WEIGH
 
 
 def title_vectors(pairs: DataFrame, left: str = "name_a", right: str = "name_b") -> DataFrame:
-    """Pairs with character and word TF-IDF cosines of their names and year features."""
+    """Pairs with character, word and truncated-space TF-IDF cosines of their names, and year features.
+
+    Names too few for a truncated space have their word cosine in its place.
+    """
     char = tfidf_pair_cosine(pairs, left, right, padded_char_ngrams).select("pair_id", F.round("cosine", 6).alias("char_tfidf_cosine"))
     word = tfidf_pair_cosine(pairs, left, right, word_ngrams).select("pair_id", F.round("cosine", 6).alias("word_tfidf_cosine"))
+    space = title_svd_cosine(pairs, left, right)
     rows = pairs.join(char, "pair_id").join(word, "pair_id")
+    if space is None:
+        rows = rows.withColumn("title_svd_cosine", F.col("word_tfidf_cosine"))
+    else:
+        rows = rows.join(space.select("pair_id", F.round("cosine", 6).alias("title_svd_cosine")), "pair_id")
     return rows.withColumns(
         {
             "release_year_abs_diff": F.abs("release_year_diff").cast("double"),

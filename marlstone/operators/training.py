@@ -8,6 +8,7 @@ from marlstone.functions.scoring import decision, rule_probability
 from marlstone.functions.text import Text, as_column
 from marlstone.operators.features import FEATURES
 from marlstone.operators.rank import cap_rows, first_per_key
+from marlstone.plans.scratch import Scratch
 
 # Label rules.
 POSITIVE_LABEL_SOURCES = ("external_id", "wikidata_rawg_external_id")
@@ -75,6 +76,8 @@ def training_frame(
             .when(F.col("given").isNotNull(), F.lit("weak_positive")),
         }
     ).drop("given")
+    # Written once: the count and both parts below read it.
+    rows = Scratch(pairs.sparkSession, "training").table(rows.where("label in (0, 1)"), "rows")
     positives, negatives = rows.where("label = 1"), rows.where("label = 0")
     cap = ratio * positives.count()
     rows = positives.unionByName(cap_rows(negatives, ["pair_id"], cap or None))  # H03

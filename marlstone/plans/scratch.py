@@ -1,13 +1,15 @@
 """Scratch tables that cut lineage and outlive lost executors.
 
 Tables are Parquet under ``spark.checkpoint.dir`` (a folder that the driver and
-all executors share).  Where the session sets none - tests on one machine - a
-folder under the system's temporary directory is used.
+all executors share).  Where a session whose executors are threads of the driver
+sets none, as in tests, a folder under the system's temporary directory is used;
+on a cluster the setting is required.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else f"file://{tempfile.gettempdir()}/marlstone"
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/marlstone"
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -76,7 +76,7 @@ def j01_rawg_attributes(spark, sf_dir):
     return out
 
 
-def wikidata_payloads(spark, sf_dir, documented: str = "p_partkey % 4 = 0 and p_partkey < 400") -> tuple[DataFrame, DataFrame]:
+def wikidata_payloads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p = base(spark, sf_dir, "part")
     v = lambda c: F.struct(F.lit("literal").alias("type"), c.alias("value"))
     binding = F.struct(
@@ -86,7 +86,7 @@ def wikidata_payloads(spark, sf_dir, documented: str = "p_partkey % 4 = 0 and p_
     sparql = p.select(F.to_json(F.struct(F.struct(F.array(binding).alias("bindings")).alias("results"))).alias("response_json"), _at(p).alias("loaded_at"), F.col("p_partkey").alias("seq"))
     qid = F.concat(F.lit("Q"), F.col("p_partkey").cast("string"))
     doc = F.concat(F.lit('{"entities":{"'), qid, F.lit('":{"labels":{"ru":{"value":"ru '), "p_name", F.lit('"}},"sitelinks":{"enwiki":{"title":"'), "p_name", F.lit('"}},"claims":{"P1733":[{"mainsnak":{"datavalue":{"value":"s1"}}}]}}}}'))
-    documents = p.where(documented).select(qid.alias("source_record_id"), doc.alias("response_json"), _at(p).alias("loaded_at"))
+    documents = p.select(qid.alias("source_record_id"), doc.alias("response_json"), _at(p).alias("loaded_at"))
     return sparql, documents
 
 
@@ -96,19 +96,12 @@ def _wikidata_entities(sparql: DataFrame, documents: DataFrame) -> DataFrame:
     return b["entities"].join(steam, "source_id", "left").select("source_id", "name", "release_date", "steam")
 
 
-@_query("""WITH b AS (SELECT 'Q' || (p_partkey // 2)::VARCHAR AS q, arg_min(p_name, p_partkey) AS en, arg_max(p_size, p_partkey) AS sz, max(p_partkey) AS st FROM part GROUP BY 1),
-d AS (SELECT 'Q' || p_partkey::VARCHAR AS q, 'ru ' || p_name AS ru FROM part WHERE p_partkey % 4 = 0 AND p_partkey < 400)
-SELECT coalesce(b.q, d.q) AS source_id, coalesce(ru, en) AS name, (sz + 1960)::VARCHAR || '-03-04' AS release_date, CASE WHEN d.q IS NOT NULL THEN 's1' ELSE st::VARCHAR END AS steam FROM b FULL JOIN d ON b.q = d.q""")
-def j02_wikidata_entities(spark, sf_dir):
-    return _wikidata_entities(*wikidata_payloads(spark, sf_dir))
-
-
 @_query("""WITH b AS (SELECT 'Q' || (p_partkey // 2)::VARCHAR AS q, arg_min(p_name, p_partkey) AS en, arg_max(p_size, p_partkey) AS sz, max(p_partkey) AS st FROM part GROUP BY 1),
 d AS (SELECT 'Q' || p_partkey::VARCHAR AS q, 'ru ' || p_name AS ru FROM part)
 SELECT coalesce(b.q, d.q) AS source_id, coalesce(ru, en) AS name, (sz + 1960)::VARCHAR || '-03-04' AS release_date, CASE WHEN d.q IS NOT NULL THEN 's1' ELSE st::VARCHAR END AS steam FROM b FULL JOIN d ON b.q = d.q""")
-def j02_wikidata_entities_whole(spark, sf_dir):
+def j02_wikidata_entities(spark, sf_dir):
     """With an entity document for every part."""
-    return _wikidata_entities(*wikidata_payloads(spark, sf_dir, "true"))
+    return _wikidata_entities(*wikidata_payloads(spark, sf_dir))
 
 
 @_query("""SELECT p_partkey::VARCHAR AS source_id, p_name || ' demo x' AS name, CASE WHEN p_size <= 31 AND p_size > 0 THEN '2001-09-' || lpad(p_size::VARCHAR, 2, '0') ELSE '2001-09-' || lpad(p_size::VARCHAR, 2, '0') END AS release_date, p_partkey % 2 = 1 AS is_dlc, true AS is_demo, 'true' AS has_supported_languages FROM part WHERE p_partkey % 5 <> 0""")

@@ -199,35 +199,24 @@ def c08_buckets_and_decisions(spark, sf_dir):
     return keyed.agg(F.count("*").alias("n"), safe_ratio(F.count_if("review_label"), F.count("review_label")).alias("positive_rate"))
 
 
-_TRAIN = with_tables("view", "entities") + """, j AS (SELECT *, CASE WHEN review_status = 'reviewed' AND review_label IS NOT NULL AND nth2 % 3 = 0 THEN review_label::INT END AS manual FROM (SELECT *, CAST(source_id_a AS BIGINT) + CAST(source_id_b AS BIGINT) AS nth2 FROM view)),
+_TRAIN = with_tables("view", "entities") + """, j AS (SELECT *, CASE WHEN review_status = 'reviewed' AND review_label IS NOT NULL THEN review_label::INT END AS manual FROM view),
 g AS (SELECT *, CASE WHEN manual IS NOT NULL THEN manual WHEN coalesce(label_value = '1', false) OR coalesce(label_source IN ('external_id', 'wikidata_rawg_external_id'), false) OR coalesce(external_id_exact_match, false) THEN 1 END AS given FROM j
   WHERE length(trim(name_a)) > 2 AND length(trim(name_b)) > 2 AND NOT regexp_full_match(trim(name_a), 'Q?[0-9]+') AND NOT regexp_full_match(trim(name_b), 'Q?[0-9]+')),
 r AS (SELECT *, CASE WHEN given IS NOT NULL THEN NULL WHEN coalesce(name_similarity, 0) >= 0.9 AND coalesce(release_year_diff, 0) >= 10 AND NOT external_id_exact_match THEN 'same_or_similar_name_different_release_year'
   WHEN NOT external_id_exact_match AND source_count_signal >= 2 AND coalesce(name_similarity, 0) <= 0.6 AND coalesce(release_year_diff, 0) >= 2 THEN 'different_external_ids'
   WHEN coalesce(name_similarity, 0) < 0.35 AND coalesce(release_year_diff, 0) >= 2 THEN 'low_name_similarity_different_year' END AS rule FROM g),
 l AS (SELECT *, CASE WHEN rule IS NOT NULL THEN 0 ELSE given END AS label, CASE WHEN rule IS NOT NULL THEN 'synthetic_negative' WHEN manual IS NOT NULL THEN 'manual_review' WHEN given IS NOT NULL THEN 'weak_positive' END AS src FROM r),
-c AS (SELECT * FROM l WHERE label = 1 UNION ALL SELECT * FROM (SELECT * FROM l WHERE label = 0 ORDER BY pair_id LIMIT (SELECT 1 * count(*) FROM l WHERE label = 1))),
+c AS (SELECT * FROM l WHERE label = 1 UNION ALL SELECT * FROM (SELECT * FROM l WHERE label = 0 ORDER BY pair_id LIMIT (SELECT {training.MAX_NEGATIVE_RATIO} * count(*) FROM l WHERE label = 1))),
 t AS (SELECT pair_id, label, src AS training_label_source, rule AS synthetic_negative_rule, (name_similarity IS NOT NULL)::INT + (alias_similarity IS NOT NULL)::INT + (release_year_diff IS NOT NULL)::INT + 1 + (developer_overlap IS NOT NULL)::INT
-  + (publisher_overlap IS NOT NULL)::INT + 1 + 1 + (tag_jaccard IS NOT NULL)::INT + 1 + (description_language_match IS NOT NULL)::INT + 1 AS available_feature_count FROM c)"""
+  + (publisher_overlap IS NOT NULL)::INT + 1 + 1 + (tag_jaccard IS NOT NULL)::INT + 1 + (description_language_match IS NOT NULL)::INT + 1 AS available_feature_count FROM c)""".replace("{training.MAX_NEGATIVE_RATIO}", str(training.MAX_NEGATIVE_RATIO))
 
 
-def training_rows(spark, sf_dir, *, whole: bool = False):
+def training_rows(spark, sf_dir):
     v = table(spark, sf_dir, "view")
     pairs = v.select("pair_id", "source_a", "source_id_a", "source_b", "source_id_b", "candidate_source", "label_source", "label_value", "name_a", "name_b", "release_year_a", "release_year_b")
     rows = v.select("pair_id", *features.FEATURES)
-    picked = v.where("review_status = 'reviewed' and review_label is not null").where((F.col("source_id_a").cast("bigint") + F.col("source_id_b").cast("bigint")) % 3 == 0)
-    picked = v.where("review_status = 'reviewed' and review_label is not null") if whole else picked
-    reviews = picked.select("pair_id", F.col("review_label").cast("int").alias("manual_label"))
-    return training.training_frame(pairs, rows, table(spark, sf_dir, "entities"), reviews, ratio=training.MAX_NEGATIVE_RATIO if whole else 1)
-
-
-_TRAIN_WHOLE = _TRAIN.replace(" AND nth2 % 3 = 0", "").replace("SELECT 1 * count(*)", f"SELECT {training.MAX_NEGATIVE_RATIO} * count(*)")
-
-
-@_query(f"{_TRAIN_WHOLE} SELECT * FROM t")
-def d01_training_frame_whole(spark, sf_dir):
-    """With all reviewed labels and the operator's own ratio of negatives."""
-    return training_rows(spark, sf_dir, whole=True).select("pair_id", "label", "training_label_source", "synthetic_negative_rule", "available_feature_count")
+    reviews = v.where("review_status = 'reviewed' and review_label is not null").select("pair_id", F.col("review_label").cast("int").alias("manual_label"))
+    return training.training_frame(pairs, rows, table(spark, sf_dir, "entities"), reviews)
 
 
 @_query(f"{_TRAIN} SELECT * FROM t")
@@ -242,13 +231,6 @@ def e19_training_stats(spark, sf_dir):
     return training.training_stats(training_rows(spark, sf_dir))
 
 
-@_query(f"""{_TRAIN_WHOLE} SELECT 'row_count' AS metric, '' AS key, count(*)::DOUBLE AS value FROM t UNION ALL SELECT 'positive_rate', '', round(avg(label), 6) FROM t
-UNION ALL SELECT 'min_available_features', '', min(available_feature_count)::DOUBLE FROM t UNION ALL SELECT 'avg_available_features', '', round(avg(available_feature_count), 6) FROM t UNION ALL SELECT 'max_available_features', '', max(available_feature_count)::DOUBLE FROM t
-UNION ALL SELECT 'label_count', label::VARCHAR, count(*)::DOUBLE FROM t GROUP BY label UNION ALL SELECT 'label_source_count', training_label_source, count(*)::DOUBLE FROM t GROUP BY training_label_source""")
-def e19_training_stats_whole(spark, sf_dir):
-    return training.training_stats(training_rows(spark, sf_dir, whole=True))
-
-
 # --- metrics ---------------------------------------------------------------------------------------
 
 _SCORED = with_tables("view") + ", s AS (SELECT pair_id, review_label::INT AS label, same_game_probability AS p, model_decision AS decision FROM view WHERE review_label IS NOT NULL)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlstone.functions.text import decade_key, feature_key
@@ -25,10 +23,8 @@ def _query(sql: str | None = None):
 
 
 PART_WEIGHTS = {"brand": 3.0, "type": 2.0, "size": 1.0}
-BLOCK, CANDIDATES, TOP, MIN = 60, 40, 5, 0.3
-#: Limits of the recommender: those of the plain names' SQL, and the operator's own, under which the ``..._whole`` queries run.
-SMALL = {"max_block": BLOCK, "max_candidates": CANDIDATES, "top_k": TOP, "min_score": MIN}
-WHOLE = {"max_block": recommend.MAX_BLOCK, "max_candidates": recommend.MAX_CANDIDATES, "top_k": recommend.TOP_K, "min_score": recommend.MIN_SCORE}
+#: The operator's own limits, for the SQL.
+LIMITS = {"max_block": recommend.MAX_BLOCK, "max_candidates": recommend.MAX_CANDIDATES, "top_k": recommend.TOP_K, "min_score": recommend.MIN_SCORE}
 
 
 def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,35 +69,23 @@ recs AS (SELECT id AS canonical_id, other AS recommended_id, row_number() OVER (
   FROM scored WHERE raw >= {min_score} QUALIFY row_number() OVER (PARTITION BY id ORDER BY raw DESC, lower(other_name), other) <= {top_k})"""
 
 
-_CANDIDATES = _candidates_sql(BLOCK, CANDIDATES)
-_RECS = _recs_sql(**SMALL)
-
-
-def _both(sql: str):
-    """Registers a query under the SQL's small limits, and as ``..._whole`` under the operator's own."""
-
-    def add(f):
-        name = f"{f.__name__}_whole"
-        QUERIES[name] = partial(f, limits=WHOLE)
-        ORACLE_SQL[name] = sql.replace(_RECS, _recs_sql(**WHOLE)).replace(_CANDIDATES, _candidates_sql(WHOLE["max_block"], WHOLE["max_candidates"]))
-        return _query(sql)(f)
-
-    return add
+_CANDIDATES = _candidates_sql(LIMITS["max_block"], LIMITS["max_candidates"])
+_RECS = _recs_sql(**LIMITS)
 
 
-def _recs(spark: SparkSession, sf_dir: str, limits: dict) -> DataFrame:
-    return recommend.recommendations(part_features(spark, sf_dir), **limits)
+def _recs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.recommendations(part_features(spark, sf_dir))
 
 
-@_both(f"{_RECS} SELECT * FROM recs")
-def f04_recommendations(spark, sf_dir, limits=SMALL):
-    out = _recs(spark, sf_dir, limits)
+@_query(f"{_RECS} SELECT * FROM recs")
+def f04_recommendations(spark, sf_dir):
+    out = _recs(spark, sf_dir)
     return out.select("canonical_id", "recommended_id", "rank", "score", F.array_join("shared_features", ",").alias("shared_features"), "source_feature_count", "candidate_feature_count")
 
 
-@_both(f"{_CANDIDATES} SELECT id, other, overlap FROM cand")
-def d08_blocked_candidates(spark, sf_dir, limits=SMALL):
-    return recommend.candidates(part_features(spark, sf_dir), max_block=limits["max_block"], max_candidates=limits["max_candidates"])
+@_query(f"{_CANDIDATES} SELECT id, other, overlap FROM cand")
+def d08_blocked_candidates(spark, sf_dir):
+    return recommend.candidates(part_features(spark, sf_dir))
 
 
 @_query(f"{_PARTS} SELECT feature, count(*) AS block_size FROM f GROUP BY feature")
@@ -109,22 +93,22 @@ def d08_block_sizes(spark, sf_dir):
     return recommend.block_sizes(part_features(spark, sf_dir))
 
 
-@_both(f"{_RECS} SELECT count(*) AS recommendation_count, count(DISTINCT canonical_id) AS seed_count, min(score) AS min_score, round(avg(score), 6) AS avg_score, max(score) AS max_score FROM recs")
-def e17_recommendation_stats(spark, sf_dir, limits=SMALL):
-    return recommend.recommendation_stats(_recs(spark, sf_dir, limits))
+@_query(f"{_RECS} SELECT count(*) AS recommendation_count, count(DISTINCT canonical_id) AS seed_count, min(score) AS min_score, round(avg(score), 6) AS avg_score, max(score) AS max_score FROM recs")
+def e17_recommendation_stats(spark, sf_dir):
+    return recommend.recommendation_stats(_recs(spark, sf_dir))
 
 
-@_both(f"""{_RECS} SELECT printf('%.1f-%.1f', least(floor(score * 10 + 1e-9), 9) / 10, (least(floor(score * 10 + 1e-9), 9) + 1) / 10) AS score_bucket, count(*) AS row_count FROM recs GROUP BY 1""")
-def e17_score_histogram(spark, sf_dir, limits=SMALL):
-    return recommend.score_histogram(_recs(spark, sf_dir, limits))
+@_query(f"""{_RECS} SELECT printf('%.1f-%.1f', least(floor(score * 10 + 1e-9), 9) / 10, (least(floor(score * 10 + 1e-9), 9) + 1) / 10) AS score_bucket, count(*) AS row_count FROM recs GROUP BY 1""")
+def e17_score_histogram(spark, sf_dir):
+    return recommend.score_histogram(_recs(spark, sf_dir))
 
 
-@_both(f"""{_RECS}, seeds AS (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey % 50 = 0)
+@_query(f"""{_RECS}, seeds AS (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey % 50 = 0)
 SELECT recommended_id, max(score) AS score, string_agg(DISTINCT canonical_id, ',' ORDER BY canonical_id) AS seeds, count(DISTINCT canonical_id) AS seed_count
 FROM recs WHERE canonical_id IN (SELECT id FROM seeds) AND recommended_id NOT IN (SELECT id FROM seeds) GROUP BY recommended_id ORDER BY score DESC, recommended_id LIMIT 20""")
-def e24_multi_seed(spark, sf_dir, limits=SMALL):
+def e24_multi_seed(spark, sf_dir):
     seeds = base(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("canonical_id"))
-    return recommend.merge_seeds(_recs(spark, sf_dir, limits), seeds, limit=20).withColumn("seeds", F.array_join("seeds", ","))
+    return recommend.merge_seeds(_recs(spark, sf_dir), seeds, limit=20).withColumn("seeds", F.array_join("seeds", ","))
 
 
 def _part_entities(spark, sf_dir):
@@ -132,19 +116,19 @@ def _part_entities(spark, sf_dir):
     return p.select(F.col("p_partkey").cast("string").alias("canonical_id"), F.col("p_name").alias("canonical_name"), F.col("p_size").alias("release_year"))
 
 
-@_both(f"""{_RECS} SELECT canonical_id, recommended_id, s.p_name AS seed_game, r.p_name AS recommended_game, rank, score
+@_query(f"""{_RECS} SELECT canonical_id, recommended_id, s.p_name AS seed_game, r.p_name AS recommended_game, rank, score
 FROM recs JOIN part s ON s.p_partkey::VARCHAR = canonical_id JOIN part r ON r.p_partkey::VARCHAR = recommended_id
 WHERE len(string_split(shared_features, ',')) >= 3 ORDER BY score DESC, seed_game, recommended_game, recommended_id, canonical_id LIMIT 40""")
-def d12_strong_examples(spark, sf_dir, limits=SMALL):
-    recs = _recs(spark, sf_dir, limits)
+def d12_strong_examples(spark, sf_dir):
+    recs = _recs(spark, sf_dir)
     rows = recommend.named_recommendations(recs.where(F.size("shared_features") >= 3), _part_entities(spark, sf_dir))
     rows = rows.orderBy(F.desc("score"), "seed_game", "recommended_game", "recommended_id", "canonical_id").limit(40)
     return rows.select("canonical_id", "recommended_id", "seed_game", "recommended_game", "rank", "score")
 
 
-@_both(f"""{_RECS} SELECT recommended_id, r.p_name AS recommended_game, rank, score FROM recs JOIN part r ON r.p_partkey::VARCHAR = recommended_id WHERE canonical_id = '8' ORDER BY rank LIMIT 10""")
-def d11_similar(spark, sf_dir, limits=SMALL):
-    return recommend.similar(_recs(spark, sf_dir, limits), _part_entities(spark, sf_dir), "8").select("recommended_id", "recommended_game", "rank", "score")
+@_query(f"""{_RECS} SELECT recommended_id, r.p_name AS recommended_game, rank, score FROM recs JOIN part r ON r.p_partkey::VARCHAR = recommended_id WHERE canonical_id = '8' ORDER BY rank LIMIT 10""")
+def d11_similar(spark, sf_dir):
+    return recommend.similar(_recs(spark, sf_dir), _part_entities(spark, sf_dir), "8").select("recommended_id", "recommended_game", "rank", "score")
 
 
 _FEATURES = with_tables("canonical", "links", "genres", "tags", "platforms", "companies") + """,

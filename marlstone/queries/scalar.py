@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from marlstone.functions import dates, ids, similarity, text
@@ -28,47 +26,26 @@ def _query(sql: str | None = None):
     return add
 
 
-_LINE = "split_part(text, chr(10), 1)"
 _TEXT = "replace(text, chr(10), ' ')"
 _TITLE = r"""nullif(trim(regexp_replace(regexp_replace(lower({0}), '[®™©]', '', 'g'), '[\s:;,_./\\|()\[\]{{}}!?+''"-]+', ' ', 'g')), '')"""
 
 
-def first_line():
-    return F.substring_index("text", "\n", 1)
-
-
 def whole_text():
+    """A document's text on one line."""
     return F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
 
 
-def _whole(sql: str | None = None):
-    """Registers a query of first lines, which its SQL reads, also as ``..._whole`` over whole texts of all documents."""
-
-    def add(f):
-        QUERIES[f"{f.__name__}_whole"] = partial(f, line=whole_text)
-        if sql:
-            ORACLE_SQL[f"{f.__name__}_whole"] = sql
-        return f
-
-    return add
-
-
-@_whole(f"""SELECT doc_id, {_TITLE.format(_TEXT)} AS unicode_name, nullif(trim(regexp_replace(lower({_TEXT}), '[^a-z0-9]+', ' ', 'g')), '') AS ascii_name, nullif(trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')), '') AS collapsed FROM documents""")
-@_query(f"""SELECT doc_id, {_TITLE.format(_LINE)} AS unicode_name, nullif(trim(regexp_replace(lower({_LINE}), '[^a-z0-9]+', ' ', 'g')), '') AS ascii_name, nullif(trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')), '') AS collapsed FROM documents""")
-def i01_normal_forms(spark, sf_dir, line=first_line):
+@_query(f"""SELECT doc_id, {_TITLE.format(_TEXT)} AS unicode_name, nullif(trim(regexp_replace(lower({_TEXT}), '[^a-z0-9]+', ' ', 'g')), '') AS ascii_name, nullif(trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')), '') AS collapsed FROM documents""")
+def i01_normal_forms(spark, sf_dir):
     d = base(spark, sf_dir, "documents")
-    return d.select("doc_id", text.unicode_title(line()).alias("unicode_name"), text.ascii_title(line()).alias("ascii_name"), text.collapsed_text(line()).alias("collapsed"))
+    return d.select("doc_id", text.unicode_title(whole_text()).alias("unicode_name"), text.ascii_title(whole_text()).alias("ascii_name"), text.collapsed_text(whole_text()).alias("collapsed"))
 
 
-@_whole()
-@_query(f"""SELECT doc_id, list_aggregate(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL), 'string_agg', '|') AS titles
-FROM (SELECT doc_id, list_filter(list_transform(string_split({_LINE}, ' '), lambda w: {_TITLE.format('w')}), lambda x: x IS NOT NULL) AS l FROM documents WHERE length({_LINE}) < 400)""")
-def i04_distinct_titles(spark, sf_dir, line=first_line):
-    d = base(spark, sf_dir, "documents")
-    if line is first_line:
-        d = d.where(F.length(line()) < 400)
-    joined = F.array_join(text.distinct_titles(F.split(line(), " ")), "|")
-    return d.select("doc_id", F.nullif(joined, F.lit("")).alias("titles"))
+@_query()
+def i04_distinct_titles(spark, sf_dir):
+    """Rows only: SQL compares every word with all before it; tests hold it to plain Python."""
+    joined = F.array_join(text.distinct_titles(F.split(whole_text(), " ")), "|")
+    return base(spark, sf_dir, "documents").select("doc_id", F.nullif(joined, F.lit("")).alias("titles"))
 
 
 _FLAG = """SELECT p_partkey, n, contains(n, ' dlc ') OR contains(n, ' expansion ') OR contains(n, ' add on ') OR contains(n, ' addon ') AS is_dlc, contains(n, ' demo ') OR contains(n, ' trial ') AS is_demo, contains(n, ' remake ') AS is_remake,
@@ -136,10 +113,9 @@ def i29_vector_similarity(spark, sf_dir):
     return pairs.select("vec_id", F.round(similarity.dot("x", "y"), 6).alias("dot"), F.round(similarity.cosine("x", "y"), 6).alias("cosine"))
 
 
-@_whole("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(replace(text, chr(10), ' ')), ' ')) AS s FROM documents) SELECT a.doc_id, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
-@_query("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS s FROM documents) SELECT a.doc_id, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
-def i22_set_jaccard(spark, sf_dir, line=first_line):
-    w = base(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower(line()), " ")).alias("s"))
+@_query("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(replace(text, chr(10), ' ')), ' ')) AS s FROM documents) SELECT a.doc_id, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+def i22_set_jaccard(spark, sf_dir):
+    w = base(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower(whole_text()), " ")).alias("s"))
     pairs = w.withColumnRenamed("s", "a").join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("b")), "doc_id")
     return pairs.select("doc_id", similarity.set_jaccard("a", "b").alias("jaccard"))
 
@@ -195,8 +171,18 @@ def a19_year_window(spark, sf_dir):
     return o.select("o_orderkey", (in_year_window("e", "y", 1) & F.col("e").between(low, high - 1)).alias("inside"))
 
 
-@_query()
+def canonical_id_sql(keys: str) -> str:
+    """SQL of the name-based UUID (version 5) of keys joined by bars."""
+    h = f"sha1(unhex('{ids.CANONICAL_NAMESPACE.hex}') || encode('{ids.CANONICAL_PREFIX}' || {keys}))"
+    variant = f"substr('89ab', (('0x' || substr({h}, 17, 1))::INT & 3) + 1, 1)"
+    return f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '5' || substr({h}, 14, 3), {variant} || substr({h}, 18, 3), substr({h}, 21, 12))"
+
+
+_RAWG_KEY = "'rawg:' || p_partkey::VARCHAR"
+
+
+@_query(f"SELECT p_partkey, {canonical_id_sql(_RAWG_KEY)} AS id FROM part")
 def i25_canonical_ids(spark, sf_dir):
-    """Name-based UUIDs (rows only: tests hold them against the standard library)."""
+    """Name-based UUIDs of single keys."""
     p = base(spark, sf_dir, "part")
     return p.select("p_partkey", ids.canonical_id(F.array(F.concat(F.lit("rawg:"), F.col("p_partkey").cast("string")))).alias("id"))

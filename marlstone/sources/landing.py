@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marlstone.operators.rank import first_per_key
@@ -81,3 +82,13 @@ def scan(df: DataFrame, *, where: Column | None = None, order: list[Column | str
     """Filtered rows; ordered and cut when a limit is given."""
     rows = df if where is None else df.where(where)
     return rows if limit is None else rows.orderBy(*(order or df.columns[:1])).limit(limit)
+
+
+def arrow_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a Hadoop path and the path in it; an Arrow or OS error where it has none."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else uri
+    authority, _, path = rest.removeprefix("//").partition("/")
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{base.rstrip('/')}/{path}"

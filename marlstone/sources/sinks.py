@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marlstone.functions.scoring import clamp_limit
 from marlstone.operators.rank import first_per_key
-from marlstone.sources.landing import path_exists
+from marlstone.sources.landing import arrow_store, path_exists
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,32 +94,67 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """A CSV report with header: given columns, or all in name order.
+#: Most rows of a report, which is one file.
+REPORT_ROWS = 1_000_000
 
-    Reports are small; their rows go to one file.
-    """
-    df.select(*(columns or sorted(df.columns))).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+def _one_file(df: DataFrame) -> DataFrame:
+    """A report's rows in one partition; ValueError for tables that are no reports."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write larger tables as Parquet or JSON lines")
+    return df.coalesce(1)
+
+
+def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A CSV report with header in one file: given columns, or all in name order."""
+    _one_file(df.select(*(columns or sorted(df.columns)))).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_quality_csv(df: DataFrame, path: str) -> None:
     """A CSV report that says ``status=empty`` when it has no row."""
     rows = df.sparkSession.createDataFrame([("empty",)], "status string") if df.isEmpty() else df
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    _one_file(rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
     """Rows as JSON lines in one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    _one_file(df).write.mode("overwrite").json(path)
+
+
+#: Bytes of a file that a checksum reads at a time.
+CHUNK = 1 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths -> SHA-256 of the files, read as streams."""
+    for batch in batches:
+        out = []
+        for uri in batch.column(0).to_pylist():
+            store, path = arrow_store(uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "sha256"])
 
 
 def file_checksums(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, sha256, bytes) of the files under a folder, paths relative to it."""
+    """(path, sha256, bytes) of the files under a folder, paths relative to it.
+
+    Files are read as streams where Arrow opens their store; elsewhere as whole
+    files by Spark, which takes files of less than 2 GB.  Spark lists no empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     inner = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?(?=/)", "")
     inner = F.regexp_replace(inner, "^/+", "/")
-    return files.select(F.substring(inner, len(base) + 1, 1_000_000).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    try:
+        arrow_store(spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().toString() + "/")
+        summed = files.select("path", "length").mapInArrow(_digests, "path string, length long, sha256 string")
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        summed = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return summed.select(F.substring(inner, len(base) + 1, 1_000_000).alias("path"), "sha256", F.col("length").alias("bytes"))
 
 
 def verify_checksums(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:

@@ -126,3 +126,33 @@ def test_every_strategy_runs(spark):
     view = spark.createDataFrame([pair("p", ("rawg", "1"), ("igdb", "2"), same_game_probability=0.91)], VIEW)
     got = dict(rows(strategies.compare_strategies(recs, view, STRATEGIES[:2]), "strategy", "edge_count"))
     assert got == {"canonical_v1_trusted": 1, "model_auto_095": 0}
+
+
+def test_all_strategies_at_once_give_what_each_gives_alone(spark):
+    draw = random.Random(3)
+    recs = records(spark, *((s, str(i), f"{s}{i}", None, {}) for s in ("rawg", "igdb", "wikidata") for i in range(12)))
+    view = spark.createDataFrame(
+        [
+            pair(
+                f"p{k}", ("rawg", str(draw.randrange(12))), (draw.choice(["igdb", "wikidata"]), str(draw.randrange(12))), candidate_source=draw.choice(["external_id", "igdb_search"]),
+                label_value=draw.choice(["1", None]), same_game_probability=draw.choice([0.5, 0.75, 0.92, 0.97]), review_status=draw.choice(["reviewed", None]), review_label=draw.choice([True, False, None]),
+            )
+            for k in range(30)
+        ],
+        VIEW,
+    )
+    together = {r.strategy: r for r in strategies.compare_strategies(recs, view).collect()}
+    assert set(together) == {s.name for s in STRATEGIES}
+    for strategy in STRATEGIES:
+        assert strategies.evaluate_strategy(recs, view, strategy).collect() == [together[strategy.name]]
+    assert len({r.component_count for r in together.values()}) > 1
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    draw = random.Random(1)
+    links = [(("s", str(draw.randrange(60))), ("t", str(draw.randrange(60)))) for _ in range(45)] + [(("s", "1"), ("s", "1")), (("s", None), None)]
+    kind = "struct<source:string,id:string>"
+    edges = spark.createDataFrame(links, f"u {kind}, v {kind}")
+    found = [sorted(map(str, connected_components(edges, Scratch(spark, "few"), few=few).collect())) for few in (0, 10, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 40
+    assert connected_components(edges.limit(0), Scratch(spark, "few"), few=9).count() == 0

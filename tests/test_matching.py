@@ -1,12 +1,15 @@
 """Records, blocking, features, rules, labels, metrics and the model."""
 
 import difflib
+import random
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
+from marlstone.functions import similarity
 from marlstone.functions.scoring import rule_probability
-from marlstone.operators import blocking, features, metrics, model, training
+from marlstone.operators import blocking, decompose, features, metrics, model, training
 from marlstone.operators.records import build_records
 from marlstone.sources.schemas import STAGING
 
@@ -188,3 +191,40 @@ def test_model_learns_and_skips_empty_features(spark):
     alone = model.fit_model(data.where("label = 1"))
     assert model.score(f, alone).first().same_game_probability == 1.0
     assert model.grouped_holdout(data.where("label = 1").withColumn("training_label_source", F.lit("weak_positive"))).first().status == "skipped"
+
+
+def test_title_space_matches_numpy(spark):
+    draw = random.Random(2)
+    words = ["dark", "light", "ring", "lord", "war", "star", "craft", "sun", "moon", "king", "age", "of", "the", "two"]
+    names = [(f"p{i}", " ".join(draw.choices(words, k=draw.randrange(1, 5))), " ".join(draw.choices(words, k=draw.randrange(1, 5)))) for i in range(60)] + [("none", None, "dark"), ("odd", "!!", "??")]
+    pairs = spark.createDataFrame(names, "pair_id string, a string, b string")
+    entries = similarity.tfidf_weights(pairs, "a", "b", similarity.word_ngrams).collect()
+    docs, terms = sorted({(r.pair_id, r.side) for r in entries}), sorted({r.term for r in entries})
+    x = np.zeros((len(docs), len(terms)))
+    for r in entries:
+        x[docs.index((r.pair_id, r.side)), terms.index(r.term)] = r.w
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rank = 12
+    place = x @ np.linalg.svd(x)[2][:rank].T
+    got = {r.pair_id: r.cosine for r in decompose.title_svd_cosine(pairs, "a", "b", rank=rank).collect()}
+    for pair, *_ in names:
+        ends = [(pair, s) for s in "lr"]
+        if all(e in docs for e in ends):
+            a, b = (place[docs.index(e)] for e in ends)
+            assert abs(got[pair] - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) < 0.02, pair
+        else:
+            assert got[pair] == 0.0
+    assert decompose.title_svd_cosine(pairs.limit(0), "a", "b") is None
+    assert decompose.title_svd_cosine(spark.createDataFrame([("p", "one", "one")], "pair_id string, a string, b string"), "a", "b") is None
+
+
+def test_names_that_cannot_be_near_do_not_meet(spark):
+    draw = random.Random(7)
+    word = lambda: "the" + "".join(draw.choice(" abc") for _ in range(draw.randrange(0, 14)))
+    names = [(s, f"{s[0]}{i}", word()) for s in ("rawg", "wikidata") for i in range(60)]
+    rows_ = [(s, i, n, n, 2000, "the", {}, []) for s, i, n in names]
+    records = spark.createDataFrame(rows_, "source string, source_id string, name string, name_normalized string, release_year int, first_token string, external_ids map<string,string>, comparison_names array<string>")
+    got = {(r.source_id_a, r.source_id_b): r.confidence for r in blocking.candidate_pairs(records, rule="same_release_year_and_similar_name").collect()}
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+    expected = {(i, j): ratio(a, b) for s, i, a in names for t, j, b in names if (s, t) == ("rawg", "wikidata") and ratio(a, b) >= 0.75}
+    assert got == expected and len(expected) > 100

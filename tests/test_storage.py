@@ -1,6 +1,8 @@
 """Merges, sinks, requests, control, service, streaming."""
 
+import hashlib
 import json
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import rank
 from marlstone.plans import control
 from marlstone.plans.catalog import build_catalog
+from marlstone.plans.scratch import shared_folder
 from marlstone.plans.service import CatalogService, review_label
 from marlstone.sources import requests, schemas, sinks
 from marlstone.sources.landing import empty, read_jsonl, read_table
@@ -191,3 +194,25 @@ def test_stream_keeps_the_last_delivery(spark, tmp_path):
     query.awaitTermination(60)
     last = max(int(p.name.removeprefix("v=")) for p in (tmp_path / "table").iterdir() if p.name.startswith("v="))
     assert rows(ingest.read_latest(spark, table, last), "request_hash") == [("a",), ("c",)]
+
+
+def test_reports_are_bounded_and_checksums_are_streamed(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "a b").mkdir(parents=True)
+    (tmp_path / "in" / "a b" / "x%20.bin").write_bytes(bytes(3_000_000))
+    (tmp_path / "in" / "short").write_bytes(b"x")
+    expected = [("a b/x%20.bin", hashlib.sha256(bytes(3_000_000)).hexdigest(), 3_000_000), ("short", hashlib.sha256(b"x").hexdigest(), 1)]
+    assert rows(sinks.file_checksums(spark, f"file://{tmp_path}/in")) == expected
+    monkeypatch.setattr(sinks, "arrow_store", lambda uri: (_ for _ in ()).throw(OSError(uri)))
+    assert rows(sinks.file_checksums(spark, f"file://{tmp_path}/in")) == expected
+    monkeypatch.setattr(sinks, "REPORT_ROWS", 3)
+    sinks.write_json_report(spark.range(3), f"file://{tmp_path}/r")
+    with pytest.raises(ValueError):
+        sinks.write_csv_report(spark.range(4), f"file://{tmp_path}/r")
+
+
+def test_scratch_wants_a_shared_folder_on_a_cluster():
+    session = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder or d), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("spark://h:7077", "hdfs://h/x/")) == "hdfs://h/x" and shared_folder(session("local[4]")).startswith("file://")
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))

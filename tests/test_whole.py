@@ -29,8 +29,8 @@ def test_recommender_runs_under_the_operators_own_limits(spark, tmp_path):
         candidates |= {(str(a[0]), other, -less) for less, other, _, _ in sorted(near)[:250]}
         scored = sorted((-raw, name, other) for _, other, raw, name in sorted(near)[:250] if raw >= 0.12)[:10]
         expected |= {(str(a[0]), other, k, round(-less, 6)) for k, (less, _, other) in enumerate(scored, 1)}
-    assert set(rows(found["d08_blocked_candidates_whole"](spark, root))) == candidates
-    got = found["f04_recommendations_whole"](spark, root)
+    assert set(rows(found["d08_blocked_candidates"](spark, root))) == candidates
+    got = found["f04_recommendations"](spark, root)
     assert set(rows(got, "canonical_id", "recommended_id", "rank", "score")) == expected
     assert len(expected) == 1500
 
@@ -40,11 +40,11 @@ def test_whole_texts_of_all_documents_are_read(spark, tmp_path):
     root = saved(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
     found = __spark_entry__.queries()
     long = texts[2].lower().split()
-    assert rows(found["i04_distinct_titles_whole"](spark, root)) == sorted([(1, "one|two|three"), (2, "|".join(long)), (3, None), (4, None)], key=repr)
-    assert {r.doc_id: (r.unicode_name, r.ascii_name, r.collapsed) for r in found["i01_normal_forms_whole"](spark, root).collect()} == {
+    assert rows(found["i04_distinct_titles"](spark, root)) == sorted([(1, "one|two|three"), (2, "|".join(long)), (3, None), (4, None)], key=repr)
+    assert {r.doc_id: (r.unicode_name, r.ascii_name, r.collapsed) for r in found["i01_normal_forms"](spark, root).collect()} == {
         1: ("one two three one", "one two three one", "One two Three one"), 2: (" ".join(long), " ".join(long), " ".join(texts[2].split())), 3: (None,) * 3, 4: (None,) * 3,
     }
-    assert {r.doc_id: r.jaccard for r in found["i22_set_jaccard_whole"](spark, root).collect()}[1] == round(2 / 303, 6)
+    assert {r.doc_id: r.jaccard for r in found["i22_set_jaccard"](spark, root).collect()}[1] == round(2 / 303, 6)
 
 
 def test_components_and_documents_of_whole_tables(spark, tmp_path):
@@ -54,18 +54,18 @@ def test_components_and_documents_of_whole_tables(spark, tmp_path):
     for k, c in orders:
         low[c] = min(low.get(c, 0), -1 - k)
     found = __spark_entry__.queries()
-    assert dict(rows(found["k01_components_whole"](spark, root), "node", "component")) == low | {-1 - k: low[c] for k, c in orders}
+    assert dict(rows(found["k01_components"](spark, root), "node", "component")) == low | {-1 - k: low[c] for k, c in orders}
     parts = [(i, f"part {i}", 5) for i in range(390, 450)]
     saved(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_size int")
-    got = {r.source_id: r.name for r in found["j02_wikidata_entities_whole"](spark, root).collect()}
+    got = {r.source_id: r.name for r in found["j02_wikidata_entities"](spark, root).collect()}
     assert all(got[f"Q{i}"] == f"ru part {i}" for i, _, _ in parts)
 
 
 def test_training_takes_all_reviews_and_the_operators_ratio(spark, monkeypatch):
     taken = {}
-    monkeypatch.setattr(training, "training_frame", lambda p, f, e, reviews, *, ratio: taken.update(n=reviews.count(), ratio=ratio))
+    monkeypatch.setattr(training, "training_frame", lambda p, f, e, reviews, *, ratio=training.MAX_NEGATIVE_RATIO: taken.update(n=reviews.count(), ratio=ratio))
     root = "/root/testdata/sf0.001"
-    matching.training_rows(spark, root, whole=True)
+    matching.training_rows(spark, root)
     reviewed = matching.table(spark, root, "view").where("review_status = 'reviewed' and review_label is not null").count()
     assert taken == {"n": reviewed, "ratio": training.MAX_NEGATIVE_RATIO} and reviewed
 
@@ -73,3 +73,11 @@ def test_training_takes_all_reviews_and_the_operators_ratio(spark, monkeypatch):
 def test_risky_components_are_not_limited(spark):
     plan = __spark_entry__.queries()["e13_risky_components"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().logical().toString()
     assert "Limit" not in plan
+
+
+def test_strategies_take_all_pairs_of_the_view(spark):
+    from marlstone.queries import graph
+
+    rows_, records = graph.review_records(spark, "/root/testdata/sf0.001")
+    view = matching.table(spark, "/root/testdata/sf0.001", "view")
+    assert rows_.count() == view.count() and records.count() == view.select("source_a", "source_id_a").union(view.select("source_b", "source_id_b")).distinct().count()
