@@ -112,6 +112,23 @@ def test_pacing_and_retry():
     assert requests.configured_limit("wikidata", {"requests_per_minute": 7}, {}) == requests.RateLimit(7, 60.0) and requests.configured_limit("x", {}, {}) is None
 
 
+def test_tokens_are_renewed_before_they_end():
+    asked, now = [], [0.0]
+
+    def transport(request):
+        asked.append(request)
+        return requests.Answer(200, json.dumps({"access_token": f"t{len(asked)}", "expires_in": 100}))
+
+    headers = requests.igdb_headers(transport, {"IGDB_CLIENT_ID": "half", "TWITCH_CLIENT_ID": "id", "TWITCH_CLIENT_SECRET": "s"}, clock=lambda: now[0])
+    taken = []
+    for now[0] in (0.0, 39.0, 40.0):
+        taken.append(next(headers)["Authorization"])
+    assert taken == ["Bearer t1", "Bearer t1", "Bearer t2"] and asked[0].params["client_id"] == "id" and "'s'" not in str(asked[0].log_row())
+    for environment, answer in (({}, requests.Answer(200, "{}")), ({"IGDB_CLIENT_ID": "a", "IGDB_CLIENT_SECRET": "b"}, requests.Answer(403, "no"))):
+        with pytest.raises(PermissionError):
+            next(requests.igdb_headers(lambda r: answer, environment))  # noqa: B023
+
+
 def test_landing_pull(spark, tmp_path):
     (tmp_path / "rawg").mkdir()
     (tmp_path / "rawg" / "5.json").write_text(json.dumps({"id": 5}))
