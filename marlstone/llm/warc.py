@@ -24,11 +24,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlstone.llm.words import utf8_rows
 from marlstone.plans.scratch import Scratch
+from marlstone.sources.landing import arrow_store
 
 MIN_REVISIT_BYTES = 1000
 #: Bytes of records to an archive file; a larger record is an archive of its own.
@@ -325,10 +325,6 @@ def lookup(blocks: DataFrame, directory: DataFrame, wanted: DataFrame) -> DataFr
     return lines.select("wanted", F.from_json("entry", ENTRY).alias("e")).select("wanted", "e.*")
 
 
-def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", uri))
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, offset, length) -> with the record's bytes; neighbouring rows of one file share a handle."""
     name, handle = None, None
@@ -338,7 +334,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if file != name:
                 if handle is not None:
                     handle.close()
-                store, path = _file_system(file)
+                store, path = arrow_store(file)
                 name, handle = file, store.open_input_file(path)
             found.append(handle.read_at(length, offset))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["file", "offset", "length", "record"])
@@ -363,7 +359,7 @@ def read_ranges(entries: DataFrame, path: str) -> DataFrame:
     ranges = entries.select("file", "offset", "length").distinct()
     kind = "file string, offset long, length long, record binary"
     try:
-        _file_system(path)
+        arrow_store(path)
     except (pa.ArrowInvalid, OSError, NotImplementedError):
         lists = ranges.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # records of one archive
         files = entries.sparkSession.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
