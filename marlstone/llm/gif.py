@@ -149,11 +149,16 @@ class Frame:
     disposal: int
     transparent: int | None
     indices: np.ndarray
-    #: RGB of the frame's own pixels (height, width, 3).
-    pixels: np.ndarray
+    #: RGB of the 256 palette entries.
+    palette: np.ndarray
     #: RGBA of the whole canvas when the frame shows; None unless asked for.
     canvas: np.ndarray | None = None
 
+    @property
+    def pixels(self) -> np.ndarray:
+        """RGB of the frame's own pixels (height, width, 3)."""
+        return self.palette[self.indices]
+
 
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -226,7 +231,7 @@ def _frames(data: bytes, canvas: bool) -> Iterator[Frame]:
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     shared, at = _palette(data, 13, flags)
     _checked(width, height)
-    surface = np.zeros((height, width, 4), np.uint8) if canvas else None
+    surface = np.zeros((height, width), "<u4") if canvas else None  # RGBA in one number a pixel
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         kind = data[at]
@@ -257,15 +262,14 @@ def _frames(data: bytes, canvas: bool) -> Iterator[Frame]:
             straight = np.empty_like(indices)
             straight[_row_order(h)] = indices
             indices = straight
-        frame = Frame(left, top, w, h, delay, disposal, transparent, indices, palette[indices])
+        frame = Frame(left, top, w, h, delay, disposal, transparent, indices, palette)
         if surface is not None:
             before = surface.copy() if disposal == 3 else None
             area = surface[top : top + h, left : left + w]
             seen = indices[: area.shape[0], : area.shape[1]]
-            shown = np.ones(seen.shape, bool) if transparent is None else seen != transparent
-            area[shown, :3] = frame.pixels[: area.shape[0], : area.shape[1]][shown]
-            area[shown, 3] = 255
-            frame.canvas = surface.copy()
+            opaque = np.concatenate([palette, np.full((256, 1), 255, np.uint8)], axis=1).view("<u4").ravel()
+            np.copyto(area, opaque[seen], where=True if transparent is None else seen != transparent)
+            frame.canvas = surface.copy().view(np.uint8).reshape(height, width, 4)
             if disposal == 2:
                 area[:] = 0
             elif before is not None:

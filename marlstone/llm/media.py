@@ -35,14 +35,27 @@ def padded(text: bytes | None, unit: int = WIDTH) -> bytes:
     return raw + b" " * (max(1, -(-len(raw) // unit)) * unit - len(raw))
 
 
-def colour_histogram(pixels: np.ndarray, bins: int = HISTOGRAM_BINS) -> np.ndarray:
-    """Counts of equal-width bins for each of the three channels."""
-    return np.stack([np.bincount(pixels[..., c].ravel() // (256 // bins), minlength=bins) for c in range(3)])
+def visible(canvas: np.ndarray) -> np.ndarray:
+    """RGBA of the pixels of a canvas that show, in row order."""
+    flat = canvas.reshape(-1, 4)
+    shows = flat[:, 3] > 0
+    return flat if shows.all() else flat[shows]
+
+
+def colour_histogram(pixels: np.ndarray, bins: int = HISTOGRAM_BINS) -> list[list[int]]:
+    """Counts of equal-width bins for each of the three channels of (n, 3 or 4) pixels."""
+    out: list[list[int]] = []
+    for c in range(3):
+        if c and np.array_equal(pixels[:, c], pixels[:, c - 1]):  # grey
+            out.append(out[-1])
+        else:
+            out.append(np.bincount(pixels[:, c] // (256 // bins), minlength=bins).tolist())
+    return out
 
 
 def frame_row(frame: Frame, start: int) -> dict:
     """Timing, place, rules and histograms of what shows on the canvas; clear pixels do not count."""
-    red, green, blue = colour_histogram(frame.canvas[frame.canvas[..., 3] > 0][:, :3]).tolist()
+    red, green, blue = colour_histogram(visible(frame.canvas))
     return {
         "start_ms": start, "delay_ms": frame.delay_ms, "left": frame.left, "top": frame.top, "width": frame.width, "height": frame.height,
         "disposal": frame.disposal, "transparent": frame.transparent, "red": red, "green": green, "blue": blue,
@@ -56,7 +69,7 @@ def media_row(text: bytes | None, keep: bool) -> tuple:
     digest, size, crc_tail, rows, clock = hashlib.sha256(), 0, b"", [], 0
     for frame in frames(media, canvas=True):
         # Frames are cleared before the next one, so that a canvas shows the rows of one frame alone.
-        samples = frame.canvas[frame.canvas[..., 3] > 0][:, 0].tobytes()
+        samples = visible(frame.canvas)[:, 0].tobytes()
         digest.update(samples)
         size += len(samples)
         crc_tail = (crc_tail + samples)[-16:]
