@@ -122,3 +122,31 @@ def test_ranker_threshold_is_a_quantile():
     ranker = quality.fit_ranker(x, label)
     assert abs((ranker.scores(x) < 0.5).mean() - (label == 0).mean()) < 0.01
     assert (ranker.scores(x).argsort() == (ranker._prepared(x) @ ranker.weight).argsort()).mean() > 0.99
+
+
+def test_ranker_is_fitted_on_all_comparisons():
+    draw = np.random.default_rng(4)
+    label = (draw.random(500) < 0.7).astype(int)
+    x = draw.normal(size=(500, quality.N_FEATURES)) + label[:, None] * 0.2
+    ranker = quality.fit_ranker(x, label)
+    z = ranker._prepared(x)
+    s, good, bad = z @ ranker.weight, label == 1, label == 0
+    wrong = 1 / (1 + np.exp(s[good][:, None] - s[bad][None, :]))
+    gradient = 3.0 * ranker.weight - min(1.0, quality.PAIRS / wrong.size) * (wrong.sum(1) @ z[good] - wrong.sum(0) @ z[bad])
+    assert np.abs(gradient).max() < 0.3  # of sums of thousands
+    order = np.sort(s)
+    assert ranker.threshold == (order[bad.sum() - 1] + order[bad.sum()]) / 2
+
+
+@pytest.mark.parametrize("most", [quality.BROADCAST_LABELS, 10])
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", most)
+    n = 32_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.repeat(F.lit("Ab! "), F.col("id").cast("int") % 9)).otherwise("word text").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4 != 0).cast("int").alias("quality"))
+    taken = [r for r in docs.where(~labelled.held_out("doc_id")).collect()]
+    x = np.array([quality.features(r.text.encode()) for r in taken])
+    assert len(x) > labelled.FIT_ROWS
+    expected = quality.fit_ranker(x, np.array([r.doc_id % 4 != 0 for r in taken]).astype(int))
+    got = quality.train_quality(docs, labels)
+    assert np.allclose(got.mean, expected.mean) and np.allclose(got.weight, expected.weight, atol=1e-4) and abs(got.threshold - expected.threshold) < 1e-4
