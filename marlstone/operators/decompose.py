@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marlstone.functions.similarity import component_count, cosine, tfidf_weights, word_ngrams
+from marlstone.functions.similarity import component_count, cosine, distinct_texts, text_weights, word_ngrams
 from marlstone.plans.scratch import Scratch
 
 #: Rank of the title space, vectors beyond it that steady the iteration, and rounds.
@@ -107,14 +107,17 @@ def title_svd_cosine(pairs: DataFrame, left: str, right: str, *, rank: int = RAN
     gives 0.
     """
     scratch = Scratch(pairs.sparkSession, "svd")
-    weights = tfidf_weights(pairs, left, right, word_ngrams, key=key)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "side")))
-    weights = weights.select(F.struct(key, "side").alias("doc"), "term", (F.col("w") / norm).alias("w"))
-    weights = scratch.table(weights, "weights")
+    both, same = distinct_texts(pairs, left, right)
+    both = scratch.table(both, "texts")
+    weights = text_weights(both, word_ngrams)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("t")))
+    weights = scratch.table(weights.select(F.col("t").alias("doc"), "times", "term", (F.col("w") / norm).alias("w")), "weights")
     k = component_count(2 * pairs.count(), weights.select("term").distinct().count(), rank)
     if not k:
         return None
-    places = _summed(weights, right_space(weights, k, scratch), "term", "doc")
-    side = lambda s: places.where(F.col("doc.side") == s).select(F.col(f"doc.{key}").alias(key), F.col("v").alias(s))
-    both = pairs.select(key).join(side("l"), key, "left").join(side("r"), key, "left")
-    return both.select(key, F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), cosine("l", "r")).otherwise(F.lit(0.0)).alias("cosine"))
+    # A text that occurs n times is n equal rows: one of the root of n times the length spans the same space.
+    repeated = weights.select("doc", "term", (F.col("w") * F.sqrt("times")).alias("w"))
+    places = _summed(weights.select("doc", "term", "w"), right_space(repeated, k, scratch), "term", "doc")
+    side = lambda s: places.select(F.col("doc").alias(f"__{s}"), F.col("v").alias(s))
+    scored = both.join(side("l"), "__l").join(side("r"), "__r").select("__l", "__r", cosine("l", "r").alias("cosine"))
+    return pairs.select(key, left, right).join(scored, same, "left").select(key, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))

@@ -249,3 +249,15 @@ def test_joined_pairs_are_the_first_rules_pairs(spark):
     assert rows(features.native_features(joined), "pair_id", *shown, "reasons") == rows(full, "pair_id", *shown, "reasons")
     lacks = {x.pair_id: {c for c in ("name_similarity", "alias_similarity") if x[c] is None} for x in full.collect()}
     assert {x.pair_id: set(x.reasons) & {"name_similarity", "alias_similarity"} for x in full.collect()} == lacks and any(lacks.values())
+
+
+def test_terms_are_made_once_for_each_text(spark):
+    pairs = spark.range(400).selectExpr("cast(id as string) pair_id", "concat('name ', id % 2) a", "if(id % 5 = 0, null, concat('name ', id % 3)) b")
+    weights = similarity.text_weights(similarity.distinct_texts(pairs, "a", "b")[0], similarity.word_ngrams)
+    assert weights.select("t").distinct().count() == 3
+    plain = {(r.pair_id, r.side, r.term): r.w for r in similarity.tfidf_weights(pairs, "a", "b", similarity.word_ngrams).collect()}
+    given = {(r.t, r.term): r.w for r in weights.collect()}
+    texts = {(r.pair_id, s): t for r in pairs.collect() for s, t in (("l", r.a), ("r", r.b))}
+    assert plain and all(abs(w - given[texts[p, s], term]) < 1e-12 for (p, s, term), w in plain.items())
+    plan = similarity.tfidf_pair_cosine(pairs, "a", "b", similarity.word_ngrams)
+    assert plan.count() == 400 and plan.where("cosine = 0").count() == 80
