@@ -75,6 +75,6 @@ def l07_checkpoints(spark, sf_dir):
 
 @_query()
 def k09_catalog_build(spark, sf_dir):
-    """The whole build over the demo staging tables (rows only: ids are hashes)."""
+    """Canonical entities of a build over the demo staging tables with all tables that they come from (rows only: ids are hashes)."""
     built = build_catalog(spark, staging(spark, sf_dir))
     return built.canonical["entities"].join(built.canonical["sources"].groupBy("canonical_id").agg(F.count("*").alias("sources")), "canonical_id")

@@ -8,10 +8,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from marlstone.operators import rank
+import __spark_entry__
+from marlstone.operators import canonical, rank
 from marlstone.plans import control
 from marlstone.plans.catalog import build_catalog
-from marlstone.plans.scratch import shared_folder
+from marlstone.plans.demo import staging
+from marlstone.plans.scratch import Scratch, shared_folder
 from marlstone.plans.service import CatalogService, review_label
 from marlstone.sources import requests, schemas, sinks
 from marlstone.sources.landing import empty, read_jsonl, read_table
@@ -198,6 +200,43 @@ def test_catalog_build_and_service(spark):
         review_label("maybe")
 
 
+def _written(monkeypatch):
+    names, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (names.append(name), table(self, df, name))[1])
+    return names
+
+
+def test_canonical_entities_are_built_without_other_pairs(spark, monkeypatch):
+    """Pairs, features and predictions are not made for entities merged by identifiers, which are those that all pairs give."""
+    root, written = "/root/testdata/sf0.001", _written(monkeypatch)
+    got = __spark_entry__.queries()["k09_catalog_build"](spark, root)
+    assert "records" in written and not {"pairs", "features", "rows", "predictions", "recommendations"} & set(written)
+    built = build_catalog(spark, staging(spark, root))
+    members = canonical.components(built.records, canonical.v0_edges(built.pairs))
+    wiki = built.staging["descriptions"].where("source = 'wikipedia'").select("source_id")
+    every = canonical.canonical_tables(built.records, members, built.staging["aliases"], wiki)
+    counts = every["sources"].groupBy("canonical_id").agg(F.count("*").alias("sources"))
+    assert rows(got) == rows(every["entities"].join(counts, "canonical_id")) and built.pairs.groupBy("candidate_source").count().count() > 1
+    assert all(rows(built.canonical[name]) == rows(df) for name, df in every.items()) and set(built.canonical) == set(every)
+    pairs = rows(built.pairs, "pair_id")
+    assert rows(built.features, "pair_id") == rows(built.predictions, "pair_id") == rows(built.view, "pair_id") == pairs
+    assert built.recommendations.count() and built.ratings.count() and rows(built.extra["members"]) == rows(members)
+    again = len(written)
+    assert built.view.count() == len(pairs) and built.canonical["aliases"].count() and len(written) == again
+
+
+def test_reviewed_pairs_are_merged_by_a_build(spark):
+    e = lambda s, i, n: (s, i, n, n.lower())
+    entities = spark.createDataFrame([e("rawg", "1", "Halo"), e("wikidata", "Q1", "Halo"), e("rawg", "2", "Myst"), e("wikidata", "Q2", "Myst")], "source string, source_id string, name string, name_normalized string")
+    entities = empty(spark, schemas.STAGING["entities"]).unionByName(entities, allowMissingColumns=True)
+    pairs = {(r.source_id_a, r.source_id_b): r.pair_id for r in build_catalog(spark, {"entities": entities}).pairs.collect()}
+    assert set(pairs) == {("1", "Q1"), ("2", "Q2")} and build_catalog(spark, {"entities": entities}).canonical["entities"].count() == 4
+    reviews = spark.createDataFrame([(pairs["1", "Q1"], "reviewed", True), (pairs["2", "Q2"], "pending", None)], "pair_id string, review_status string, review_label boolean")
+    reviews = empty(spark, schemas.MATCHING["reviews"]).unionByName(reviews, allowMissingColumns=True)
+    sources = build_catalog(spark, {"entities": entities}, reviews=reviews).canonical["sources"]
+    assert sorted(r.ids for r in sources.groupBy("canonical_id").agg(F.array_sort(F.collect_list("source_id")).alias("ids")).collect()) == [["1", "Q1"], ["2"], ["Q2"]]
+
+
 def test_stream_keeps_the_last_delivery(spark, tmp_path):
     landing, table = tmp_path / "landing", f"file://{tmp_path}/table"
     landing.mkdir()
